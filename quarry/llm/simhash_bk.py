@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, small_batches
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -211,6 +211,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     with its own fingerprint and component null unless its class has an id. Empty tables give empty results; other columns
     are not read.
     """
+    small_batches(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     prints = materialize(rows.mapInArrow(fingerprint_frames(shingle_words), "id long, fp long"), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "nodes")
