@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
+from quarry.llm.common import small_batches
+
 #: The byte alphabet of byte-level vocabularies keeps these bytes as they are ...
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: ... and puts the others, in order, from this code point on.
@@ -188,6 +190,7 @@ def bpe_roundtrip(df, path: str, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts give no ids and the empty text. Row order, repeated rows and other columns do not
     matter; one output row per input row.
     """
+    small_batches(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     return rows.mapInArrow(bpe_frames(path), "id long, n_tokens long, ids binary, decoded string")
 
@@ -213,5 +216,6 @@ def digest_frames(path: str):
 
 def bpe_digests(df, path: str, id_col: str = "doc_id", text_col: str = "text"):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of bpe_roundtrip's rows."""
+    small_batches(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     return rows.mapInArrow(digest_frames(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

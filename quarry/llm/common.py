@@ -35,6 +35,29 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Ids sent to all tasks at once, at most: 8 bytes each before the join's own overhead.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(df: DataFrame, drops: DataFrame, id_col: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """df without the rows whose id is in drops' only column. The ids are written and counted first: up to
+    broadcast_ids of them go to all tasks, so the rows stay where they are; more are met by a shuffle."""
+    gone = materialize(drops.toDF("_drop").distinct(), "drops")
+    few = gone.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return df.join(F.broadcast(gone) if few else gone, df[id_col] == gone["_drop"], "left_anti")
+
+
+def keep_frames(decide):
+    """For mapInArrow over whole rows: those for which decide(batch) is true, all columns untouched."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(decide(b), pa.bool_()))
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, materialize
+from quarry.llm.common import ASCII_SPACE, materialize, without_ids
 
 SALTS = 256
 
@@ -70,5 +70,4 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of df that stay, all their columns as they were; of rows that repeat the kept id, all stay."""
-    drops = exact_groups(df, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_drop")).distinct()
-    return df.join(drops, df[id_col] == drops["_drop"], "left_anti")
+    return without_ids(df, exact_groups(df, id_col, text_col, salts).where(~F.col("kept")).select(id_col), id_col)

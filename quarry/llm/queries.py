@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, simhash_bk
+from quarry.llm import bpe, exact_dedup, fm_index, simhash_bk, toxicity_zstd
 from quarry.llm.common import table
 
 #: Vocabulary of the encoding queries; its place comes from the installed collection, never from this repository.
@@ -18,6 +18,27 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows that no fit may learn from."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+
+
+def op3_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_zstd.fit_toxicity(docs, table(spark, sf_dir, "labels"), where=~held_out())
+    scores = toxicity_zstd.toxicity_scores(docs, model)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op6_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_bk.near_groups(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -33,6 +54,8 @@ def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity_zstd": op3_toxicity_zstd,
+    "op4_fm_index": op4_fm_index,
     "op6_simhash_bk": op6_simhash_bk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe_forced_boundaries": op8_bpe_forced_boundaries,

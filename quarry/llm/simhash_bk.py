@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, small_batches
+from quarry.llm.common import materialize, small_batches, without_ids
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -225,5 +225,4 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """df without the rows whose class has a smaller id; all columns as they were."""
-    drops = near_groups(df, id_col, text_col, **params).where(F.col(id_col) > F.col("component")).select(F.col(id_col).alias("_drop")).distinct()
-    return df.join(drops, df[id_col] == drops["_drop"], "left_anti")
+    return without_ids(df, near_groups(df, id_col, text_col, **params).where(F.col(id_col) > F.col("component")).select(id_col), id_col)
