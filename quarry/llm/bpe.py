@@ -219,3 +219,29 @@ def bpe_digests(df, path: str, id_col: str = "doc_id", text_col: str = "text"):
     small_batches(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     return rows.mapInArrow(digest_frames(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def token_frames(path: str):
+    """For mapInArrow over (id, source, lang, text): (doc_id, source, lang, n_tokens, token_ids, decoded_sha256)."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        bpe = encoder(path)
+        for b in batches:
+            raw = [bpe.encode_bytes(t.as_py()) for t in b.column(3)]
+            sizes = [len(x) // 4 for x in raw]
+            ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+            back = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), ids, pa.array(back)], ["doc_id", "source", "lang", "n_tokens", "token_ids", "decoded_sha256"])
+
+    return run
+
+
+def tokenize(df, path: str):
+    """Training rows of a document table: (doc_id, source, lang, n_tokens, token_ids, decoded_sha256)."""
+    small_batches(df.sparkSession)
+    rows = df.select(df["doc_id"].cast("long").alias("doc_id"), df["source"].cast("string").alias("source"), df["lang"].cast("string").alias("lang"), df["text"].cast("string").alias("text"))
+    return rows.mapInArrow(token_frames(path), "doc_id long, source string, lang string, n_tokens long, token_ids array<int>, decoded_sha256 string")

@@ -28,11 +28,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows, and so the text, that a Python worker and its JVM hold at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, most_bytes: int = 8 << 20) -> None:
+    """Bound the rows and bytes, and so the text, that a Python worker and its JVM hold at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 #: Ids sent to all tasks at once, at most: 8 bytes each before the join's own overhead.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fm_index, simhash_bk, toxicity_zstd
+from quarry.llm import bpe, exact_dedup, fm_index, huffman, simhash_bk, toxicity_zstd
 from quarry.llm.common import table
 
 #: Vocabulary of the encoding queries; its place comes from the installed collection, never from this repository.
@@ -39,6 +39,11 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, book = huffman.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
+    return huffman.read_token_files(shards, book)
+
+
 def op6_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_bk.near_groups(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -56,6 +61,7 @@ def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity_zstd": op3_toxicity_zstd,
     "op4_fm_index": op4_fm_index,
+    "op5_token_files": op5_token_files,
     "op6_simhash_bk": op6_simhash_bk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe_forced_boundaries": op8_bpe_forced_boundaries,
@@ -69,3 +75,12 @@ ORACLE = {
         FROM n
     """,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
