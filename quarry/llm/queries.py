@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fm_index, huffman, simhash_bk, toxicity_zstd
+from quarry.llm import bpe, exact_dedup, fm_index, huffman, langid_kn, simhash_bk, toxicity_zstd
 from quarry.llm.common import table
 
 #: Vocabulary of the encoding queries; its place comes from the installed collection, never from this repository.
@@ -58,6 +58,12 @@ def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid_kn.fit_languages(docs, where=~held_out())
+    return langid_kn.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 QUERIES = {
     "op3_toxicity_zstd": op3_toxicity_zstd,
     "op4_fm_index": op4_fm_index,
@@ -65,6 +71,7 @@ QUERIES = {
     "op6_simhash_bk": op6_simhash_bk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe_forced_boundaries": op8_bpe_forced_boundaries,
+    "op10_language_kn": op10_language_kn,
 }
 
 ORACLE = {
