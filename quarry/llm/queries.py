@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, fm_index, huffman, langid_kn, simhash_bk, toxicity_zstd
+from quarry.llm import bpe, chat_tree, exact_dedup, fm_index, huffman, langid_kn, simhash_bk, toxicity_zstd
 from quarry.llm.common import table
 
 #: Vocabulary of the encoding queries; its place comes from the installed collection, never from this repository.
@@ -18,6 +18,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    nodes = chat_tree.parents_of_turns(rows.unionByName(probe))
+    told = chat_tree.read_back(chat_tree.conversations(nodes))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return told.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no fit may learn from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
@@ -65,6 +77,7 @@ def op10_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_trees": op2_chat_trees,
     "op3_toxicity_zstd": op3_toxicity_zstd,
     "op4_fm_index": op4_fm_index,
     "op5_token_files": op5_token_files,
@@ -75,6 +88,18 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_chat_trees": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g'))
+                        + len(regexp_extract_all(text, '<(\||/?s>|</?SYS>>)|\[/?INST\]')) AS escaped FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(escaped + length(role) + 16) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
