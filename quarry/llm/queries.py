@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat_tree, exact_dedup, fm_index, html_template, huffman, langid_kn, simhash_bk, toxicity_zstd
+from quarry.llm import bpe, chat_tree, exact_dedup, fm_index, html_template, huffman, langid_kn, licenses, simhash_bk, toxicity_zstd
 from quarry.llm.common import table
 
 #: Vocabulary of the encoding queries; its place comes from the installed collection, never from this repository.
@@ -74,6 +74,12 @@ def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source is the directory, their id the name. None of them is a license file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return licenses.scan_licenses(docs)
+
+
 def op10_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid_kn.fit_languages(docs, where=~held_out())
@@ -89,6 +95,7 @@ QUERIES = {
     "op6_simhash_bk": op6_simhash_bk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe_forced_boundaries": op8_bpe_forced_boundaries,
+    "op9_license_tfidf": op9_license_tfidf,
     "op10_language_kn": op10_language_kn,
 }
 
