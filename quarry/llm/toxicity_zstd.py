@@ -159,11 +159,13 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, where: Column | None = None,
     read; an id labelled twice is toxic if any label says so. where: a condition on df's columns."""
     known = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("_id")).agg(F.max(labels[label_col].cast("int")).alias("_y"))
     rows = (df if where is None else df.where(where)).select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
-    rows = rows.join(known, rows["_i"] == known["_id"], "inner").withColumn("_h", F.xxhash64("_i", F.lit(17)))
-    got = []
+    ids = rows.select("_i").distinct().join(known, F.col("_i") == known["_id"], "inner").select("_i", "_y", F.xxhash64("_i", F.lit(17)).alias("_h"))
+    chosen = []  # ids only, so that texts neither move nor reach the driver before they are chosen
     for y, most in ((0, fit_ordinary), (1, fit_toxic)):
-        got += [(r["_t"], y) for r in rows.where(F.col("_y") == y).orderBy("_h", "_i", "_t").limit(most).select("_t").collect()]
-    return CompressionClassifier(**params).fit(got)
+        chosen += [(r["_i"], y) for r in ids.where(F.col("_y") == y).orderBy("_h", "_i").limit(most).select("_i").collect()]
+    picked = F.broadcast(df.sparkSession.createDataFrame(chosen, "_id long, _y int"))  # fit_toxic + fit_ordinary rows at most
+    got = rows.join(picked, rows["_i"] == picked["_id"], "inner").select("_i", "_t", "_y").collect()
+    return CompressionClassifier(**params).fit([(r["_t"], r["_y"]) for r in sorted(got, key=lambda r: (r["_i"], r["_t"] or ""))])
 
 
 def score_frames(model):
