@@ -197,11 +197,14 @@ class KneserNeyLanguages:
 
 def fit_languages(df: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, **params) -> KneserNeyLanguages:
     """Models from at most fit_docs whole texts a language, null languages and texts left out."""
-    rows = (df if where is None else df.where(where)).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
-    got = []
-    for lang in sorted(r.l for r in rows.select("l").distinct().collect()):
-        got += [(r.t, lang) for r in rows.where(F.col("l") == lang).orderBy(F.xxhash64("i", F.lit(29)), "i", "t").limit(fit_docs).collect()]
-    return KneserNeyLanguages(**params).fit(got)
+    rows = (df if where is None else df.where(where)).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null")
+    ids = rows.select("i", "l", F.xxhash64("i", F.lit(29)).alias("h"))
+    chosen = []  # ids only, so that texts neither move nor reach the driver before they are chosen
+    for lang in sorted(r.l for r in ids.select("l").distinct().collect()):
+        chosen += [(r.i, lang) for r in ids.where(F.col("l") == lang).orderBy("h", "i").limit(fit_docs).collect()]
+    picked = F.broadcast(df.sparkSession.createDataFrame(chosen, "pi long, pl string"))  # fit_docs rows a language at most
+    got = rows.join(picked, F.col("i").eqNullSafe(F.col("pi")) & (F.col("l") == F.col("pl")), "inner").where("t is not null").select("i", "t", "l").collect()
+    return KneserNeyLanguages(**params).fit([(r.t, r.l) for r in sorted(got, key=lambda r: (r.l, -1 if r.i is None else r.i, r.t))])
 
 
 def language_frames(model):
