@@ -10,13 +10,13 @@ case, then contractions, runs of letters, single digits, runs of others.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import regex
 
 from quarry.llm.common import small_batches
+from quarry.llm.pretokens import StretchCache, VocabularySpec
 
 #: The byte alphabet of byte-level vocabularies keeps these bytes as they are ...
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -36,18 +36,21 @@ class ForcedBoundaryBPE:
     """Encoder and decoder for one vocabulary file (byte-level BPE with or without a word-end mark).
 
     encode(None) and encode('') are empty. Special tokens standing in a text become their own ids, as the file
-    asks. Words are remembered up to ``cache_words``; then the memory starts anew.
+    asks. Up to ``cache_words`` stretches and words are remembered.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.spec = VocabularySpec(path)
+        spec = self.spec.raw
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        #: rank of a pair of token ids, and the id each rank makes
+        self.rank = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.makes = [self.vocab[a + b] for a, b in pairs]
         self.alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens: list[str] = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
@@ -59,8 +62,9 @@ class ForcedBoundaryBPE:
         library = Tokenizer.from_file(path)
         self._normalizer, self._pre = library.normalizer, library.pre_tokenizer
         self._inside, self._final = self._pairs()
-        self._ids: dict[str, bytes] = {}
-        self._cache_words = cache_words
+        self._single = [self.vocab[c] for c in self.alphabet]
+        self._ending = [self.vocab[c + self.suffix] for c in self.alphabet]
+        self._cache = StretchCache(self.spec, lambda words: [self.word_ids(w) for w in words], self._whole, cache_words)
 
     def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Which byte pairs stand inside some token; apart, those whose second byte bears the word-end mark."""
@@ -86,61 +90,48 @@ class ForcedBoundaryBPE:
         out.append((word[start:], True))
         return out
 
-    def _merge(self, piece: bytes, ended: bool) -> list[str]:
-        parts = [self.alphabet[b] for b in piece]
-        if ended and self.suffix:
-            parts[-1] += self.suffix
-        rank = self.rank
-        while len(parts) > 1:
-            best, where = min(((rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 60, 0))
-            if best == 1 << 60:
+    def _merge(self, piece: bytes, ended: bool) -> list[int]:
+        """Merge by rank, the leftmost of the lowest first; only the pairs beside a merge change."""
+        ids = [self._single[b] for b in piece]
+        if ended:
+            ids[-1] = self._ending[piece[-1]]
+        get, none = self.rank.get, len(self.makes)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            a, b = parts[where], parts[where + 1]
-            merged, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == a and parts[i + 1] == b:
-                    merged.append(a + b)
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return parts
+            at = ranks.index(best)
+            ids[at] = self.makes[best]
+            del ids[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << 20 | ids[at + 1], none)
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 20 | ids[at], none)
+        return ids
 
     def word_ids(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
-        got = self._ids.get(word)
-        if got is None:
-            ids = [self.vocab[t] for piece, ended in self.fragments(word.encode()) for t in self._merge(piece, ended)]
-            got = np.array(ids, "<u4").tobytes()
-            if len(self._ids) >= self._cache_words:
-                self._ids.clear()
-            self._ids[word] = got
-        return got
+        return np.array([i for piece, ended in self.fragments(word.encode()) for i in self._merge(piece, ended)], "<u4").tobytes()
 
     def pretokens(self, text: str) -> list[str]:
-        if text.isascii() or max(text) <= "\xff":  # composed already, and lower() maps each character alone
-            return self._words.findall(text.lower())
         norm = self._normalizer.normalize_str(text)
-        if max(norm, default="") <= "ɏ":
+        if max(norm, default="") <= "\u024f":
             return self._words.findall(norm)
         back = {c: b for b, c in enumerate(self.alphabet)}  # letters of rarer scripts: classes as the library has them
         return [bytes(back[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in self._pre.pre_tokenize_str(norm)]
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _plain(self, text: str) -> bytes:
+        return b"".join([self.word_ids(w) for w in self.pretokens(text)])
+
+    def _whole(self, text: str) -> bytes:
+        """A text with special tokens, or with characters whose case or composition only the library's normaliser knows."""
         if self._special is None or not self._special.search(text):
             return self._plain(text)
         return b"".join(np.array([self.special[part]], "<u4").tobytes() if part in self.special else self._plain(part) for part in self._special.split(text) if part)
 
-    def _plain(self, text: str) -> bytes:
-        words = self.pretokens(text)
-        known = self._ids
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([self.word_ids(w) for w in words])
+    def encode_bytes(self, text: str | None) -> bytes:
+        return self._cache.encode(text)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")

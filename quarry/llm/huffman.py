@@ -23,8 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quarry.llm.common import materialize, small_batches
+from quarry.llm.pretokens import StretchCache, VocabularySpec, library_words
 
 MAX_BITS = 18
 BLOCK_IDS = 1024
@@ -162,68 +164,15 @@ class ShardReader:
         return out.T.reshape(-1)[:count]
 
 
-class WordCache:
-    """Ids by the tokenizers library, remembered a pre-token: the vocabulary's words are encoded each on its own, so a
-    text's ids are those of its words in order. Texts with characters beyond the first 256, or with a special
-    token's string, go to the library whole."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        import json
-
-        import regex
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        split = [p for p in pre.get("pretokenizers", []) if p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
-        norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = bool(split) and norm == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
-        self.words = regex.compile(split[0]["pattern"]["Regex"].replace(r"\s", "\t\n\v\f\r \x85\xa0")) if self.by_word else None
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str | None) -> list[str] | None:
-        """The text's words; None if only the library may cut it."""
-        if not text:
-            return []
-        if not self.by_word or not (text.isascii() or max(text) <= "\xff") or any(s in text for s in self.special):
-            return None
-        return self.words.findall(text.lower())
-
-    def ids_of(self, words: list[str]) -> dict[str, bytes]:
-        """A mapping that has these words."""
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._whole(new), strict=True))
-        return self.known
-
-    def encode(self, text: str | None) -> bytes:
-        words = self.pieces(text)
-        if words is None:
-            return self._whole([text])[0]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            known = self.ids_of(words)
-            return b"".join([known[w] for w in words])
-
-
-_CACHES: dict[str, WordCache] = {}
-
-
-def word_cache(path: str) -> WordCache:
+_CACHES: dict[str, StretchCache] = {}
+
+
+def library_cache(path: str) -> StretchCache:
+    """The tokenizers library's ids of whole texts, by remembered stretches; one a process and vocabulary."""
     if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
+        library, spec = Tokenizer.from_file(path), VocabularySpec(path)
+        whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        _CACHES[path] = StretchCache(spec, library_words(library, spec), whole)
     return _CACHES[path]
 
 
@@ -232,7 +181,7 @@ def id_frames(path: str, end_id: int, width: int):
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = word_cache(path), np.array([end_id], "<u4").tobytes()
+        cache, end = library_cache(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids = [cache.encode(t.as_py()) + end for t in b.column(1)]
             packed = ids if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
@@ -316,7 +265,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     """
     spark = df.sparkSession
     small_batches(spark)
-    width = 2 if max(end_id, word_cache(path).library.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
+    width = 2 if max(end_id, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     ids = materialize(rows.mapInArrow(id_frames(path, end_id, width), "id long, n_ids long, ids binary"), "token-ids")
     if not ids.where("id is null").isEmpty():
