@@ -56,8 +56,13 @@ class StretchCache:
         self._first = {s[0] for s in spec.special}
 
     def can_cut(self, text: str) -> bool:
-        if not self.spec.by_stretch or not (text.isascii() or max(text) <= "\xff"):
+        if not self.spec.by_stretch:
             return False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
         if any(c in text for c in _SEPARATORS):
             return False
         return not any(c in text and any(s in text for s in self.spec.special) for c in self._first)
@@ -67,27 +72,25 @@ class StretchCache:
             return b""
         if not self.can_cut(text):
             return self.whole(text)
-        parts, known = text.lower().split(), self.stretches
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            return b"".join(map(self.learn(parts).__getitem__, parts))
-
-    def learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of all the stretches, from memory or made now."""
-        known = self.stretches
-        new = {p: _WORDS.findall(p) for p in parts if p not in known}
-        words = self.words
+        parts = text.lower().split()
+        got = list(map(self.stretches.get, parts))
+        if None in got:
+            new = self._learn({p for p, ids in zip(parts, got, strict=True) if ids is None})
+            got = [new[p] if ids is None else ids for p, ids in zip(parts, got, strict=True)]
+        return b"".join(got)
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of stretches that aren't remembered; from now on they are, while there is room."""
+        new, words = {p: _WORDS.findall(p) for p in parts}, self.words
         lacking = list({w for ws in new.values() for w in ws if w not in words})
         made = dict(zip(lacking, self.words_to_ids(lacking), strict=True)) if lacking else {}
         if len(words) + len(made) <= self.most:
             words.update(made)
             made = {}
-        fresh = {p: b"".join([words[w] if w in words else made[w] for w in ws]) for p, ws in new.items()}
-        if len(known) + len(fresh) <= self.most:
-            known.update(fresh)
-            return known
-        return {p: fresh[p] if p in fresh else known[p] for p in parts}
+        fresh = {p: words[ws[0]] if len(ws) == 1 and ws[0] in words else b"".join([words[w] if w in words else made[w] for w in ws]) for p, ws in new.items()}
+        if len(self.stretches) + len(fresh) <= self.most:
+            self.stretches.update(fresh)
+        return fresh
 
 
 def library_words(library, spec: VocabularySpec) -> Callable[[list[str]], list[bytes]]:
