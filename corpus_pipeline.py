@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles), the row with the smallest doc_id stays."""
-    return simhash_bk.drop_near(docs, shingle_words=5, radius=3)
+    """Of each class of near copies (five-word shingles, similarity 0.8), the row with the smallest doc_id stays."""
+    return simhash_bk.drop_near(docs, shingle_words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

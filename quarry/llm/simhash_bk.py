@@ -12,6 +12,7 @@ fingerprints of the whole corpus and searching every tree with every document; t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,6 +224,170 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return prints.join(classes, prints.fp.eqNullSafe(classes["of"]), "left").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """df without the rows whose class has a smaller id; all columns as they were."""
-    return without_ids(df, near_groups(df, id_col, text_col, **params).where(F.col(id_col) > F.col("component")).select(id_col), id_col)
+# ------------------------------------------------------------------ near copies by similarity: a radius too wide for blocks
+
+WIDE, WORD_BITS = 512, 128
+#: Share of differing bits between the word fingerprints of texts whose five-word shingles have a similarity of 0.8: a fiftieth of
+#: the words differ then, so the sets of words have a similarity of about 0.955.
+WORD_GAP = 0.0685
+
+
+def radius_of(similarity: float, bits: int = WIDE, slack: float = 1.5) -> int:
+    """The Hamming distance of texts of that Jaccard similarity of shingles: the angle of their counts as a share of all
+    bits, plus ``slack`` standard deviations of the estimate."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def _majority(hashes: list[int], bits: int, chunk: int = 1 << 14) -> bytes:
+    """The SimHash of hashes: each is drawn out to ``bits`` bits by a mixing function; a bit is 1 if set in over half."""
+    base, ones = np.array(hashes, np.uint64), np.zeros(bits, np.int64)
+    for at in range(0, len(base), chunk):
+        lanes = []
+        for k in range(bits // 64):
+            x = base[at : at + chunk] + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            lanes.append(x ^ (x >> np.uint64(31)))
+        rows = np.stack(lanes, axis=1).view(np.uint8)
+        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(base)).tobytes()
+
+
+def wide_fingerprints(text: str | None, shingle_words: int = 5) -> tuple[bytes, bytes]:
+    """(SimHash of the shingles with repeats, SimHash of the set of words); zeros for a text without words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE // 8), bytes(WORD_BITS // 8)
+    h64, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle_words + 1)
+    grams = zip(*[words[k : k + n] for k in range(shingle_words)], strict=True) if len(words) >= shingle_words else [tuple(words)]
+    return _majority([h64(b" ".join(g), 42) for g in grams], WIDE), _majority([h64(w, 43) for w in set(words)], WORD_BITS)
+
+
+def wide_frames(shingle_words: int):
+    """For mapInArrow over (id, text): (id, fp, words)."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprints(t.as_py(), shingle_words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in fps], pa.binary()), pa.array([w for _, w in fps], pa.binary())], ["id", "fp", "words"])
+
+    return run
+
+
+def tables_for(nodes: int, gap: float = WORD_GAP, recall: float = 0.995, seed: int = 3) -> list[list[int]]:
+    """Orders of the word bits, one a table; a table's key are its first bits(nodes) of them. There are as many tables as it takes for
+    two texts at that gap to meet in one with probability ``recall``; both grow with the logarithm of the input."""
+    k = bits_for(nodes)
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - gap) ** k))
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(WORD_BITS).tolist() for _ in range(count)]
+
+
+def bits_for(nodes: int) -> int:
+    return max(10, math.ceil(math.log2(max(nodes, 2))) + 2)
+
+
+def sample_frames(tables: list[list[int]], k: int, level: int):
+    """For mapInArrow over (table, words, fp, rep), table -1 meaning all: a row a table with a key of k bits of its order."""
+    import pyarrow as pa
+
+    picks = np.array([t[:k] for t in tables])
+    powers = np.random.default_rng(9 + level).integers(1, 1 << 62, size=k, dtype=np.int64) * 2 + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1).astype(np.int64)
+            given = b.column(0).to_numpy()
+            for t in range(len(tables)):
+                rows = np.flatnonzero((given == t) | (given < 0))
+                if len(rows):
+                    key = (bits[np.ix_(rows, picks[t])] * powers).sum(axis=1) ^ np.int64(t * 0x1000193 + level)
+                    kept = b.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), t, np.int64)), kept.column(1), kept.column(2), kept.column(3)], ["key", "table", "words", "fp", "rep"])
+
+    return run
+
+
+def route_by_samples(nodes: DataFrame, count: int, shard_nodes: int) -> DataFrame:
+    """(key, fp, rep): every node under one shard a table, chosen by sampled bits of its word fingerprint.
+
+    A shard over ``shard_nodes`` is split by further bits of its table's order, as often as needed; what then still
+    agrees in all word bits is split by the shingle fingerprint's.
+    """
+    tables, k, done = tables_for(count), bits_for(count), None
+    frontier = nodes.select(F.lit(-1).cast("long").alias("table"), "words", "fp", "rep")
+    for level in range(WORD_BITS):
+        keyed = frontier.mapInArrow(sample_frames(tables, min(k, WORD_BITS), level), "key long, table long, words binary, fp binary, rep long")
+        if level or k >= WORD_BITS:
+            keyed = materialize(keyed, "samples")
+        large = materialize(keyed.groupBy("key").count().where(F.col("count") > shard_nodes).select("key"), "large")
+        if k >= WORD_BITS:
+            keyed = keyed.join(large.withColumn("hot", F.lit(True)), "key", "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("key", F.substring("fp", 1, 4))).otherwise(F.col("key")))
+            part = keyed.select("key", "fp", "rep")
+            return part if done is None else done.unionByName(part)
+        if large.isEmpty():
+            part = keyed.select("key", "fp", "rep")
+            return part if done is None else done.unionByName(part)
+        part = keyed.join(large, "key", "left_anti").select("key", "fp", "rep")
+        done = part if done is None else done.unionByName(part)
+        frontier = materialize(keyed.join(large, "key", "left_semi").select("table", "words", "fp", "rep"), "hot")
+        k += 8
+    return done
+
+
+def wide_shard_frames(radius: int):
+    """For mapInArrow over (key, fp, rep) sorted by key: links (a, b) between reps, one tree a key."""
+    import pyarrow as pa
+
+    def links(fps: list[bytes], reps: list[int]):
+        return [(reps[i], reps[j]) for i, j in spanning_links([int.from_bytes(f, "big") for f in fps], radius)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fps, reps = None, [], []
+        for b in batches:
+            out = []
+            for k, fp, rep in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != key:
+                    if len(fps) > 1:
+                        out += links(fps, reps)
+                    key, fps, reps = k, [], []
+                fps.append(fp)
+                reps.append(rep)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        if len(fps) > 1 and (out := links(fps, reps)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 2048) -> DataFrame:
+    """One row per input row: (id, component): classes of texts whose shingles have a similarity of at least ``similarity``, as
+    their 256-bit SimHashes tell it; component is the smallest id of the class.
+
+    The radius is some 90 of 512 bits, which no blocks of equal bits can guarantee, so shards are chosen by samples of
+    a second fingerprint, of the set of words; two texts of similarity 0.8 meet in a shard with probability 0.995, closer
+    ones with a higher one. Nulls, blanks, ties and empty tables are treated as in near_groups.
+    """
+    small_batches(df.sparkSession)
+    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
+    prints = materialize(rows.mapInArrow(wide_frames(shingle_words), "id long, fp binary, words binary"), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.min("words").alias("words")).where("rep is not null"), "nodes")
+    shards = route_by_samples(nodes, nodes.count(), shard_nodes)
+    links = shards.repartition("key").sortWithinPartitions("key").mapInArrow(wide_shard_frames(radius_of(similarity)), "a long, b long")
+    groups = connected_components(links)
+    classes = materialize(nodes.join(groups, nodes.rep == groups.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component")), "classes")
+    return prints.join(classes, prints.fp.eqNullSafe(classes["of"]), "left").select(F.col("id").alias(id_col), "component")
+
+
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None, **params) -> DataFrame:
+    """df without the rows whose class (similar_groups, unless groups are given) has a smaller id; all columns as they were."""
+    groups = similar_groups(df, id_col, text_col, **params) if groups is None else groups
+    return without_ids(df, groups.where(F.col(id_col) > F.col("component")).select(id_col), id_col)
