@@ -3,6 +3,9 @@ one pass over an unpivoted table."""
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,9 +154,6 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def inverse_normal(df: DataFrame, columns: list[str], rid: str) -> DataFrame:
     """df with <c>_z: the normal quantile of each value's rank share (average rank - 0.5) / n."""
-    import pandas as pd
-    from statistics import NormalDist
-
     @F.pandas_udf("double")
     def quantile(p: pd.Series) -> pd.Series:
         inv = NormalDist().inv_cdf

@@ -1,7 +1,7 @@
 """The whole run: load, split, encode, screen, propose, admit, gate, choose, evaluate once.
 
-The loop and its decisions are on the driver; rows stay in DataFrames. Accepted states are cached, and rejected ones
-are only plans that nobody runs.
+The loop and its decisions are on the driver; rows stay in DataFrames. The surface and each state's predictions are
+checkpoints, so plans stay short, and rejected candidates are only plans that nobody runs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from quarry.functions.expr import with_expressions
 from quarry.operators import admit, drift, encode, experts, gate, history, models, score, split
 from quarry.operators.metrics import average_precision, roc_auc
 from quarry.plans import propose, templates
-from quarry.plans.schema import RID, ColumnPlan, DatasetSpec, classify, detect_entities, epoch_seconds, is_number, require_valid
+from quarry.plans.schema import RID, ColumnPlan, DatasetSpec, classify, cut_lineage, detect_entities, epoch_seconds, is_number, require_valid
 from quarry.sources.io import canonical_hash, json_safe, write_report
 
 
@@ -74,7 +74,7 @@ class Run:
             from quarry.plans.schema import with_position
 
             parted = with_position(parted, [RID])
-        self.rows = parted.cache()
+        self.rows = cut_lineage(parted)
         sizes = {r["_part"]: (r["n"], r["p"]) for r in self.rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).collect()}
         self.n_fit, self.n_valid, self.positives = sizes["I"][0], sizes["V"][0], sizes["I"][1]
         self.vault = gate.TestVault(self.rows.where("_part = 'T'"), RID, y)
@@ -98,7 +98,7 @@ class Run:
             df = encode.lookup(df, encode.frequency_map(fit, k), k, "freq", 0.0, "_fr")
             df = df.join(inside, RID, "left").withColumns({f"{k}_te": F.coalesce("_a", "_te"), f"{k}_freq": F.coalesce("_b", "_fr")}).drop("_a", "_b", "_te", "_fr")
         self.base = [*self.plan.base, *[f"{k}_{s}" for k in self.plan.categorical for s in ("te", "freq")]]
-        self.surface = df.cache()
+        self.surface = cut_lineage(df)
         self.raw = [*self.plan.numeric, *self.plan.binary]
         names = [k for k in self.plan.categorical if not is_number(self.df, k)]
         self.entities = list(self.spec.entity_cols) or (detect_entities(fit, names) if names else [])
@@ -116,7 +116,7 @@ class Run:
         df = self.with_features(features)
         columns = [*self.base, *features]
         oof, valid = models.out_of_fold(df.where("_part = 'I'"), columns, self.spec.label, RID, self.cfg["learner"], self.cfg["oof_folds"], self.cfg["seed"], df.where("_part = 'V'"), **self.cfg["learner_settings"])
-        return State(name, dict(features), oof.cache(), valid.cache())
+        return State(name, dict(features), cut_lineage(oof), cut_lineage(valid))
 
     def route(self) -> dict:
         c = self.cfg
@@ -265,7 +265,7 @@ class Run:
         for name, state in (("baseline", self.states[0]), ("core", core)):
             df = self.with_features(state.features)
             model = models.fit(df.where("_part in ('I', 'V')"), [*self.base, *state.features], y, self.cfg["learner"], self.cfg["seed"], **self.cfg["learner_settings"])
-            out[name] = model.predict(df.where("_part = 'T'")).select(RID, "p").cache()
+            out[name] = cut_lineage(model.predict(df.where("_part = 'T'")).select(RID, "p"))
         out |= self.experts(core, out["core"])
         for name, p in out.items():
             aucs[name] = roc_auc(self.vault._labels.join(p, RID), "_y", "p").first()["auc"]
@@ -281,7 +281,7 @@ class Run:
         df = self.with_features(core.features)
         columns = [*self.base, *core.features]
         fit = df.where("_part = 'I'").join(core.oof.withColumnRenamed("p", "_p"), RID)
-        fit = score.residual(fit, y, "_p", "_r").cache()
+        fit = cut_lineage(score.residual(fit, y, "_p", "_r"))
         rules = experts.slice_rules(fit, columns[: c["slice_max_columns"]], RID)
         chosen = experts.choose_slices(experts.slice_lift(fit, rules, y, "_r"), rules)
         for rule in chosen:
@@ -289,7 +289,8 @@ class Run:
             if inside.count() < 800 or (inside.agg(F.sum(y)).first()[0] or 0) < 40:
                 continue
             model = models.fit(inside, columns, y, c["learner"], c["seed"], **c["learner_settings"])
-            v = model.predict(df.where("_part = 'V'"), "_e").join(core.valid, RID).withColumn("_b", split.block_of(F.pmod(F.col("_pos"), F.lit(self.n_valid)), self.n_valid, 5)).cache()
+            v = model.predict(df.where("_part = 'V'"), "_e").join(core.valid, RID).withColumn("_b", split.block_of(F.pmod(F.col("_pos"), F.lit(self.n_valid)), self.n_valid, 5))
+            v = cut_lineage(v)
             w = experts.best_weight(experts.blend_grid(v, y, "p", "_e", "_b", rule.mask()))
             mixed = v.withColumn("_new", experts.blend(F.col("p"), F.col("_e"), w, rule.mask())).withColumn("_half", F.col("_b") >= 3)
             gains = gate.bootstrap_gain(mixed.select(RID, y, "p", "_new", "_half"), y, "p", "_new", RID, ["_half"], c["expert_bootstrap_repeats"]).cache()

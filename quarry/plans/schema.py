@@ -186,3 +186,16 @@ def content_hash(df: DataFrame) -> str:
     """A fingerprint of the rows that doesn't depend on their order."""
     got = df.select(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"), F.bit_xor("h").alias("x")).first()
     return f"{got['n']:x}-{got['s'] or 0:x}-{(got['x'] or 0) & (2**64 - 1):016x}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint: later plans start from its files, and a lost executor costs no more than reading them again.
+
+    The folder is the session's spark.checkpoint.dir; one of our own only where none is set, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+    return df.checkpoint()
