@@ -72,6 +72,8 @@ class KneserNeyLanguages:
 
     def fit(self, rows: list[tuple[str | None, str]]) -> KneserNeyLanguages:
         self.languages = sorted({lang for _, lang in rows})
+        if not self.languages:
+            return self
         lanes, count = [], len(self.languages)
         pad = np.full(self.order - 1, _SPACE, np.uint32)
         held: dict[int, list[np.ndarray]] = {}
@@ -181,10 +183,12 @@ class KneserNeyLanguages:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, entropy a character, rejected) of each text; 'und', 0, None, True without a letter."""
+        if not self.languages:
+            return [("und", 0.0, None, True)] * len(texts)
         sums, lengths = self._sums([characters(t) for t in texts])
         out = []
         for total, n in zip(sums, lengths.tolist(), strict=True):
-            if not n or not self.languages:
+            if not n:
                 out.append(("und", 0.0, None, True))
                 continue
             e = total / n
