@@ -48,9 +48,14 @@ class Result:
 
 
 class Run:
-    """One dataset under one configuration; each stage can be called alone."""
+    """One dataset under one configuration; each stage can be called alone.
+
+    The session stops inferring filters from constraints: over dozens of expressions of the same columns, the optimizer would list every
+    way to rewrite each constraint, which grows exponentially and gains nothing here.
+    """
 
     def __init__(self, df: DataFrame, cfg: dict):
+        df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
         self.cfg, self.report = cfg, {"stages": []}
         self.spec = DatasetSpec(cfg["label"], cfg["time_col"], tuple(cfg["entity_cols"]), tuple(cfg["drop"]))
         keep = [c for c in df.columns if c == cfg["label"] or not self.spec.dropped(c)]
