@@ -7,9 +7,8 @@ they can be summed in any order, whatever the number of pages, and one hot host
 
 A class is valid if most of the host's pages have it and if its elements come whole: start and end tags of a path
 are one class by their balance. Valid classes nest by their paths into the host's template. What a template
-does not fix is a slot; the slot whose element holds most of the varying text is the article. Its text is extracted without nested
-elements that are navigation, adverts, notices, forms or comments by name or role, and without strings that the
-template repeats on the host's pages.
+does not fix is a slot; the slot whose element holds most of the text is the article. Its text is extracted without nested elements that are navigation,
+adverts, notices, forms or comments by name or role; on demand also without strings that the template repeats.
 """
 
 from __future__ import annotations
@@ -33,11 +32,17 @@ BLOCKS = frozenset(
 )
 NEVER = frozenset("head nav header footer aside form button menu dialog".split()) | RAW
 CLOSES_P = BLOCKS - {"body", "html", "td", "th"}
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|newsletter|subscribe|popup|modal|comments?|replies|respond|disqus|"
-    r"sidebar|side|nav\w*|menu|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|pagination|pager|toolbar|login|search|copyright)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and ids that mark what is not the article; those of the second group do not where a word of the third
+#: stands beside them, as in "article-header".
+_ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices newsletter "
+    "subscribe popup modal comment comments commentlist replies respond disqus sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead share sharing "
+    "social related recommended pagination pager toolbar".split()
 )
+_FRAME = frozenset("header footer".split())
+_OWN = frozenset("article post entry content section story chapter body text".split())
+_COMMENTS = frozenset("comment comments commentlist replies".split())
+_WORDS = re.compile(r"[^\W_]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
@@ -76,6 +81,16 @@ def attributes(raw: str) -> dict[str, str]:
     return {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(raw)}
 
 
+def named_aside(tag: str, name: str) -> bool:
+    """Whether an element's class and id say that it is not part of an article."""
+    words = set(_WORDS.findall(name.lower()))
+    if tag in ("html", "body", "main"):  # their classes speak of the whole page
+        return False
+    if tag == "article":
+        return bool(words & _COMMENTS)
+    return bool(words & _ASIDE) or bool(words & _FRAME) and not words & _OWN
+
+
 class Walk:
     """A page's nodes in order: (path, "<tag>" or text, shut), where shut says that boilerplate encloses the node.
 
@@ -129,7 +144,7 @@ class Walk:
             label = tag + ("." + ".".join(sorted(known["class"].split())) if known.get("class") else "") + ("#" + known["id"] if known.get("id") and not any(c.isdigit() for c in known["id"]) else "")
             path = f"{above}/{label}"
             own = tag in NEVER and tag not in ("header",) or tag == "header" and "/article" not in above and "/main" not in above
-            own = own or bool(name and tag not in ("html", "body", "article", "main") and _NAMED.search(name)) or known.get("role", "").lower() in _ROLES or "hidden" in known or known.get("aria-hidden") == "true"
+            own = own or bool(name) and named_aside(tag, name) or known.get("role", "").lower() in _ROLES or "hidden" in known or known.get("aria-hidden") == "true"
             own = own or "display:none" in known.get("style", "").replace(" ", "").lower()
             yield path, tag, "", shut or own
             if tag not in VOID:
@@ -306,10 +321,11 @@ def host_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return frequent.select(*sums.columns).groupBy("host").applyInPandas(deduce_frames(), "host string, pages long, article string, constant array<struct<path:string,string:string>>, classes array<array<string>>")
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **params) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", drop_repeated: bool = False, **params) -> DataFrame:
     """One row per page: (page_id, url, text, n_chars, template). Null, empty and text-less pages have the empty text;
-    pages without a host share the host ''. A host of few pages has a template of its elements only."""
-    templates = materialize(host_templates(pages, id_col, url_col, html_col, **params).select("host", "article", "constant"), "templates")
+    pages without a host share the host ''. drop_repeated leaves out strings on most of a host's pages even inside the article; it is off,
+    as a host of copies would lose its articles."""
+    templates = materialize(host_templates(pages, id_col, url_col, html_col, **params).select("host", "article", F.col("constant") if drop_repeated else F.expr("cast(array() as array<struct<path:string,string:string>>)").alias("constant")), "templates")
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(pages[url_col].cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#\s]*@)?([^/?#\s]*)", 1)), "^www\\.", "")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"), host.alias("_host"))
     joined = rows.join(templates, rows["_host"] == templates["host"], "left").select("page_id", "url", "html", "article", "constant")

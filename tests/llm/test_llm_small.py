@@ -292,6 +292,7 @@ def test_extraction():
     for odd in (None, "", "   ", "<", "<div", "<script>never closed", '<a href="unclosed>x'):
         html_template.extract(odd, None)
     assert html_template.extract("plain", None) == "plain"
+    assert html_template.extract('<article class="post"><div class="article-header"><h1>T</h1></div><p class="text">x</p></article><article class="comment">no</article><div class="page-header">no</div>', None) == "T\nx"
 
 
 def test_templates_of_hosts(spark):
@@ -300,7 +301,9 @@ def test_templates_of_hosts(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     t = {r["host"]: r for r in html_template.host_templates(pages).collect()}["a.example"]
     assert t["article"].endswith("div.post") and ("/html/body/div.wrap/div.post/p", "Read our standing note.") in [(c["path"], c["string"]) for c in t["constant"]]
-    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages.withColumn("host", F.lit("clash"))).collect()}
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages.withColumn("host", F.lit("clash")), drop_repeated=True).collect()}
+    whole = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages).collect()}
+    assert whole[3] == got[3] + "\nRead our standing note."
     assert got[3] == "Title 3\n" + ("Body text number 3 " * 5).strip() and (got[50], got[51], got[52]) == ("", "lone", "")
     assert html_template.extract_pages(spark.createDataFrame([], pages.schema)).count() == 0
 
