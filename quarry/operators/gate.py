@@ -3,28 +3,28 @@ between models."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.metrics import average_precision
 
 
-def replicate_weight(rid: str, seed: int, repeats: int):
-    """Poisson(1) resampling weights of a row in each replicate, an array of structs (rep, w), zero weights left out.
+def replicate_weight(rid: str, rep: str, seed: int) -> Column:
+    """Poisson(1) resampling weight of a row in a replicate.
 
-    The weight is a function of seed, replicate and row id, so old and new scores meet the same resamples and a
+    It is a function of seed, replicate and row id, so old and new scores meet the same resamples and a
     lost task draws the same numbers again. Poisson weights are the large-sample form of drawing with replacement.
     """
-    u = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.struct(k.alias("rep"), (F.pmod(F.xxhash64(F.col(rid), k, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("u")))
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 10):
+    u = F.pmod(F.xxhash64(F.col(rid), F.col(rep), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    p, total, weight = math.exp(-1), 0.0, F.lit(0)
+    for k in range(1, 10):  # a weight of 10 or more has a chance of 1e-7
         total += p
-        cuts.append(total)
+        weight = weight + (u >= total).cast("int")
         p /= k
-    w = lambda x: sum(((x["u"] >= c).cast("int") for c in cuts[1:]), (x["u"] >= cuts[0]).cast("int"))
-    return F.filter(F.transform(u, lambda x: F.struct(x["rep"].alias("rep"), w(x).alias("w"))), lambda x: x["w"] > 0)
+    return weight
 
 
 def bootstrap_gain(df: DataFrame, y: str, old: str, new: str, rid: str, by: list[str] | None = None, repeats: int = 200, seed: int = 0, classwise: bool = False) -> DataFrame:
@@ -36,8 +36,11 @@ def bootstrap_gain(df: DataFrame, y: str, old: str, new: str, rid: str, by: list
     scores = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("p")) for k, c in (("old", old), ("new", new))])
     rows = df.select(*by, F.col(y).alias("y"), rid, F.explode(scores).alias("s")).select(*by, "y", rid, "s.which", "s.p")
     plain = average_precision(rows, "y", "p", [*by, "which"])
-    drawn = rows.withColumn("r", F.explode(replicate_weight(rid, seed, repeats))).select(*by, "y", "which", "p", "r.rep", "r.w")
-    both = drawn.groupBy(*by, "rep").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select(*by, "rep")
+    each_row = df.select(*by, F.col(y).alias("y"), F.col(old).alias("_old"), F.col(new).alias("_new"), rid, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    weighed = each_row.withColumn("w", replicate_weight(rid, "rep", seed)).where("w > 0")
+    both_scores = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("p")) for k, c in (("old", "_old"), ("new", "_new"))])
+    drawn = weighed.select(*by, "y", "rep", "w", F.explode(both_scores).alias("s")).select(*by, "y", "rep", "w", "s.which", "s.p")
+    both = weighed.groupBy(*by, "rep").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select(*by, "rep")
     reps = average_precision(drawn, "y", "p", [*by, "which", "rep"], weight="w").join(both, [*by, "rep"], "left_semi")
 
     def gain(t: DataFrame, keys: list[str]) -> DataFrame:
