@@ -75,7 +75,10 @@ def with_position(df: DataFrame, order: list[str], name: str = "_pos", parts: in
     if parts > 1:
         shares = [k / parts for k in range(1, parts)]
         kind = df.schema[order[0]].dataType
-        key = lead if isinstance(kind, T.NumericType) else lead.cast("double") if isinstance(kind, T.BooleanType) else F.xxhash64(F.lit(0)).cast("double") if isinstance(kind, T.StringType) else epoch_seconds(df, order[0])
+        if isinstance(kind, T.StringType):  # the first six bytes as a number: strings sort by their bytes
+            key = F.conv(F.rpad(F.hex(F.substring(lead.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        else:
+            key = lead.cast("double") if isinstance(kind, T.NumericType | T.BooleanType) else epoch_seconds(df, order[0])
         bounds = df.select(key.cast("double").alias("k")).agg(F.percentile_approx("k", shares, 1000).alias("b")).first()[0] or []
         bounds = sorted({b for b in bounds if b is not None})
         bucket = F.lit(0)

@@ -58,6 +58,13 @@ def test_positions_are_a_total_order(spark):
     assert with_position(spark.createDataFrame([], "rid long, t double"), ["t", "rid"]).count() == 0
 
 
+def test_positions_by_strings(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, ""]) if i % 20 == 0 else "".join(rng.choice("abzé中") for _ in range(rng.randint(1, 9)))) for i in range(400)]
+    got = {r["rid"]: r["_pos"] for r in with_position(spark.createDataFrame(rows, "rid long, s string"), ["s", "rid"]).collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[0])))}
+
+
 def test_encodings_one_class_and_one_row(spark):
     df = spark.createDataFrame([(0, "a", 1, 0), (1, None, 1, 0), (2, "a", 1, 1)], "rid long, k string, y int, fold int")
     got = {r["rid"]: (r["te_oof"], r["freq_oof"]) for r in encode.out_of_fold(df, "k", "y", "fold").collect()}
