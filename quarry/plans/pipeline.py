@@ -307,11 +307,17 @@ class Run:
 
 
 def run(df: DataFrame, cfg: dict) -> Result:
-    r = Run(df, cfg)
-    r.partition()
-    r.encode()
-    r.search()
-    return r.finish()
+    """The whole run; the session's optimizer setting is as before when it ends. Predictions of the result are checkpoints."""
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    try:
+        r = Run(df, cfg)
+        r.partition()
+        r.encode()
+        r.search()
+        return r.finish()
+    finally:
+        conf.set(key, before)
 
 
 def score_feature_list(df: DataFrame, cfg: dict, features: dict, learners: tuple[str, ...] = ("logistic", "forest", "boosted"), seeds: tuple[int, ...] = (11, 12, 13)) -> list[dict]:

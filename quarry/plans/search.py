@@ -4,6 +4,7 @@ functions, so that any learner, proposer or score serves; each evaluation is a D
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -232,3 +233,25 @@ def holdout_mark(df: DataFrame, rid: str, share: float = 1 / 9, seed: int = 0, n
     """A random holdout by row id, for the stacking decision of data without time."""
     ticket = F.conv(F.substring(lottery(f"holdout{seed}", rid), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return df.withColumn(name, ticket < share)
+
+
+_NAMELESS = re.compile(r"(?:v|x|f|c|col|var|feat|feature|attr|field|column|pc|dim)?_?\d+", re.I)
+
+
+def anonymous_columns(columns: Sequence[str], cap: int = 40) -> tuple[list[str], list[str]]:
+    """(kept, left out): columns with a meaning in their name come first; of nameless ones (v12, col_3) as many as the cap leaves room for,
+    in order. An ending of our own (_log, _code, _te, _freq) does not count as a meaning."""
+    bare = {c: re.sub(r"_(log|code|te|freq)$", "", c) for c in columns}
+    named = [c for c in columns if not _NAMELESS.fullmatch(bare[c])]
+    nameless = [c for c in columns if _NAMELESS.fullmatch(bare[c])]
+    kept = set(named) | set(nameless[: max(cap - len(named), 0)])
+    return [c for c in columns if c in kept], [c for c in columns if c not in kept]
+
+
+def prefer_plain(oof: DataFrame, y: str, plain: str, core: str, least_gain: float = 0.0) -> bool:
+    """Whether to fall back to the model without features: its out-of-fold average precision is not below the core's by more than
+    least_gain. Only out-of-fold predictions decide; no test label is read."""
+    from quarry.operators.metrics import stack_scores
+
+    aps = {r["candidate"]: r["ap"] or 0.0 for r in average_precision(stack_scores(oof, y, {"plain": F.col(plain), "core": F.col(core)}), "y", "p", ["candidate"]).collect()}  # two rows
+    return aps.get("core", 0.0) <= aps.get("plain", 0.0) + least_gain

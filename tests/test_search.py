@@ -50,3 +50,9 @@ def test_moves(spark):
     tests = spark.createDataFrame([("s", "f", 0.001), ("t", "f", 0.002), ("s", "g", 0.9)], "seat string, factor string, p double")
     assert [(r["seat"], r["factor"]) for r in search.select_pairs(tests, "seat", "factor", "p").collect()] == [("s", "f")]
     assert 2 <= search.holdout_mark(df, "rid").where("_holdout").count() <= 25
+
+
+def test_nameless_columns_and_fallback(spark):
+    assert search.anonymous_columns(["v1", "income", "V2_log", "col_3", "age2020"], 4) == (["v1", "income", "V2_log", "age2020"], ["col_3"])
+    df = spark.createDataFrame([(1, 0.9, 0.1), (0, 0.2, 0.8), (1, 0.8, 0.3), (0, 0.1, 0.4)], "y int, good double, bad double")
+    assert search.prefer_plain(df, "y", "good", "bad") and not search.prefer_plain(df, "y", "bad", "good")
