@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.schema import finite
+from quarry.plans.schema import finite, running_totals
 
 DECILES = tuple(k / 10 for k in range(11))
 FLOOR, LEAST = 1e-4, 50
@@ -55,11 +55,10 @@ def psi(df: DataFrame, columns: list[str], late: str) -> DataFrame:
 def adversarial_auc(df: DataFrame, columns: list[str], late: str) -> DataFrame:
     """(column, adv_auc): the chance that a late value exceeds an early one, ties half; 0.5 with fewer than 50 on a side.
 
-    Counts by value come first, so the window runs over distinct values.
+    Counts by value come first; their running sums are taken in ranges of the values.
     """
     counts = unpivot(df, columns, [late]).groupBy("column", "x").agg(F.count_if(~F.col(late)).alias("e"), F.count_if(F.col(late)).alias("l"))
-    below = Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = counts.withColumn("under", F.coalesce(F.sum("e").over(below), F.lit(0)))
+    pairs = running_totals(counts, "x", ["e"], ["column"]).withColumn("under", F.col("cum_e") - F.col("e"))
     got = pairs.groupBy("column").agg(F.sum("e").alias("ne"), F.sum("l").alias("nl"), F.sum(F.col("l") * (F.col("under") + F.col("e") / 2.0)).alias("s"))
     measured = got.select("column", F.when((F.col("ne") < LEAST) | (F.col("nl") < LEAST), 0.5).otherwise(F.try_divide(F.col("s"), F.col("ne") * F.col("nl"))).alias("adv_auc"))
     return _every(df, columns, measured, "adv_auc", 0.5)
@@ -100,13 +99,12 @@ def average_rank(c: str, by: list[str] | None = None) -> Column:
 def spearman(df: DataFrame, columns: list[str], rid: str) -> DataFrame:
     """(a, b, rho) for a before b in ``columns``: correlation of average ranks over rows without a missing value.
 
-    The ranks of all columns come from one window over (column, value) counts, then one aggregate has all pairs.
+    The ranks of all columns come from running sums of (column, value) counts, then one aggregate has all pairs.
     """
     whole = df.dropna(subset=columns)
     rows = unpivot(whole, columns, [rid])
     counts = rows.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("column", "x", (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2.0).alias("r"))
+    ranks = running_totals(counts, "x", ["n"], ["column"]).select("column", "x", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("r"))
     wide = rows.join(ranks, ["column", "x"]).groupBy(rid).agg(*[F.max(F.when(F.col("column") == c, F.col("r"))).alias(f"r{i}") for i, c in enumerate(columns)])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     got = wide.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs])
@@ -161,7 +159,7 @@ def inverse_normal(df: DataFrame, columns: list[str], rid: str) -> DataFrame:
 
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        below, every = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-        ranks = counts.select("_v", ((F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2.0) / F.sum("_n").over(every)).alias("_p"))
+        run = running_totals(counts, "_v", ["_n"])
+        ranks = run.select("_v", ((F.col("cum__n") - F.col("_n") / 2.0) / F.col("total__n")).alias("_p"))
         df = df.join(ranks, df[c] == F.col("_v"), "left").withColumn(f"{c}_z", quantile("_p")).drop("_v", "_p")
     return df

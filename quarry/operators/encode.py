@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.schema import with_position
+
 ALPHA = 20.0
 
 
@@ -89,13 +91,14 @@ def frequency_map(df: DataFrame, c: str) -> DataFrame:
 def sorted_codes(df: DataFrame, c: str) -> DataFrame:
     """(c, code): values numbered from 0 in string order; null is its own category, named as such."""
     values = df.select(F.col(c), F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias("_s")).distinct()
-    return values.select(c, (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("_s")) - 1).cast("int").alias("code"))
+    codes = with_position(values.select("_s").distinct(), ["_s"], "code")
+    return values.join(codes, "_s").select(c, F.col("code").cast("int").alias("code"))
 
 
 def appearance_codes(df: DataFrame, c: str, pos: str) -> DataFrame:
     """(c, code): values that aren't null numbered from 0 by their first row."""
     firsts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(pos).alias("_at"))
-    return firsts.select(c, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")) - 1).cast("int").alias("code"))
+    return with_position(firsts, ["_at"], "code").select(c, F.col("code").cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, c: str, name: str) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.schema import with_position
+
 UNARY: dict[str, Callable[[Column], Column]] = {
     "abs": F.abs,
     "log": lambda x: F.ln(F.abs(F.nullif(x, F.lit(0.0)))),
@@ -67,7 +69,7 @@ def frequency(fit: DataFrame, apply: DataFrame, x: str, out: str) -> DataFrame:
 def combine(fit: DataFrame, apply: DataFrame, a: str, b: str, rid: str, out: str) -> DataFrame:
     """The number of the value pair by first appearance in the fit rows; null if unseen."""
     firsts = fit.groupBy(F.col(a).alias("_k0"), F.col(b).alias("_k1")).agg(F.min(rid).alias("_at"))
-    table = firsts.select("_k0", "_k1", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")) - 1).cast("double").alias("_value"))
+    table = with_position(firsts, ["_at"], "_value").select("_k0", "_k1", F.col("_value").cast("double").alias("_value"))
     return _joined(apply, table, [F.col(a), F.col(b)], out)
 
 

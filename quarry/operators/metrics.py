@@ -1,20 +1,24 @@
-"""Metrics of scores: tied scores are one step. Rows are grouped by score first, so the global window runs over distinct
-scores, and everything a group needs (a region, a replicate, a candidate) is one more key of the same plan."""
+"""Metrics of scores: tied scores are one step. Rows are grouped by score first; the running sums over distinct scores are taken in
+ranges, or, with keys (a region, a replicate, a candidate), in a window for each."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.schema import running_totals
+
 
 def score_steps(df: DataFrame, y: str, p: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(by..., score, n, pos, cn, cp, total, total_pos): counts at each distinct score and at or above it."""
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
     steps = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("score")).agg(F.sum(w).alias("n"), F.sum(w * F.col(y)).alias("pos"))
-    keys = by or [F.lit(0)]
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
+    if not by:
+        run = running_totals(steps, "score", ["n", "pos"], descending=True)
+        return run.select("score", "n", "pos", F.col("cum_n").alias("cn"), F.col("cum_pos").alias("cp"), F.col("total_n").alias("total"), F.col("total_pos"))
+    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*by)
     return steps.withColumns({"cn": F.sum("n").over(down), "cp": F.sum("pos").over(down), "total": F.sum("n").over(every), "total_pos": F.sum("pos").over(every)})
 
 

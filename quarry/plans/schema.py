@@ -100,6 +100,38 @@ def with_position(df: DataFrame, order: list[str], name: str = "_pos", parts: in
     return marked.withColumn(name, place).drop("_range")
 
 
+def running_totals(df: DataFrame, order: str, sums: list[str], keys: list[str] | None = None, descending: bool = False, parts: int | None = None) -> DataFrame:
+    """df (one row a key and value of the numeric column ``order``) with cum_<s>, the sum of s over the key's rows up to each in that
+    order, and total_<s>. Ranges of the order, bounded by each key's approximate quantiles, are summed by tasks of their own; a
+    table with one row a key and range carries what lies before.
+    """
+    keys = keys or []
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    bounds = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.percentile_approx(F.col(order).cast("double"), shares, 1000).alias("_bounds"))  # a row a key
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return left.join(right if keys else F.broadcast(right), on).drop(*[f"_k_{k}" for k in keys])
+
+    value = F.col(order).cast("double")
+    marked = met(df, bounds).withColumn("_range", F.aggregate("_bounds", F.lit(0), lambda a, b: a + (value > b).cast("int"))).drop("_bounds")
+    sizes = marked.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    group = [F.col(k) for k in keys] or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*group)
+    carried = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums], *[F.sum(f"_{s}").over(every).alias(f"total_{s}") for s in sums])
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = marked.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = summed.join(F.broadcast(carried) if not keys else carried, on)  # without keys as many rows as ranges
+    return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_b_{s}") for s in sums}).drop("_range", "_r", *[f"_k_{k}" for k in keys], *[f"_b_{s}" for s in sums])
+
+
 def row_count(df: DataFrame) -> int:
     return df.count()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import admit, drift, encode, experts, formula, gate, history, metrics, score, split
 from quarry.operators.history import HistorySpec
-from quarry.plans.schema import DatasetSpec, classify, content_hash, require_valid, with_position
+from quarry.plans.schema import DatasetSpec, classify, content_hash, require_valid, running_totals, with_position
 
 
 def test_tied_times_never_see_each_other(spark):
@@ -58,6 +58,18 @@ def test_positions_are_a_total_order(spark):
     assert with_position(spark.createDataFrame([], "rid long, t double"), ["t", "rid"]).count() == 0
 
 
+def test_running_totals(spark):
+    rng = random.Random(8)
+    rows = [(k, float(x), rng.randint(0, 5)) for k in ("a", None, "c") for x in rng.sample(range(200), 60)]
+    df = spark.createDataFrame(rows, "k string, x double, n int")
+    for r in running_totals(df, "x", ["n"], ["k"], parts=5).collect():
+        assert r["cum_n"] == sum(n for k, x, n in rows if k == r["k"] and x <= r["x"]) and r["total_n"] == sum(n for k, _, n in rows if k == r["k"])
+    one = df.where("k = 'a'")
+    for r in running_totals(one, "x", ["n"], descending=True, parts=7).collect():
+        assert r["cum_n"] == sum(n for k, x, n in rows if k == "a" and x >= r["x"])
+    assert running_totals(one.limit(0), "x", ["n"]).count() == 0
+
+
 def test_positions_by_strings(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([None, ""]) if i % 20 == 0 else "".join(rng.choice("abzé中") for _ in range(rng.randint(1, 9)))) for i in range(400)]
