@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,9 +25,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = hooked.select(F.col("node").alias("via"), F.col("label").alias("far"))
         after = materialize(hooked.join(jump, hooked.label == jump.via, "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         changed = after.where("label != old").limit(1).count()
-        labels = after.select("node", "label")
+        discard(labels, hooked)
+        labels = after
         if not changed:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    discard(both)
     return labels.select("node", F.col("label").alias("component"))

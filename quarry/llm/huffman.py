@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import materialize, small_batches
+from quarry.llm.common import discard, materialize, small_batches
 from quarry.llm.pretokens import StretchCache, VocabularySpec, library_words
 
 MAX_BITS = 18
@@ -275,6 +275,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     held = spark.sparkContext.broadcast(book)
     parts = ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
     shards = materialize(parts.mapInArrow(shard_frames(held, width), "part long, first long, n_ids long, image binary"), "token-shards", "none")
+    discard(ids)
     return shards, book
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, small_batches, without_ids
+from quarry.llm.common import discard, materialize, small_batches, without_ids
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -221,6 +221,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     groups = connected_components(links)
     # rows meet their fingerprint's class; the class table has one row a fingerprint, hot fingerprints are split by AQE
     classes = materialize(nodes.join(groups, nodes.rep == groups.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component")), "classes")
+    discard(nodes)
     return prints.join(classes, prints.fp.eqNullSafe(classes["of"]), "left").select(F.col("id").alias(id_col), "fp", "component")
 
 
@@ -384,6 +385,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = shards.repartition("key").sortWithinPartitions("key").mapInArrow(wide_shard_frames(radius_of(similarity)), "a long, b long")
     groups = connected_components(links)
     classes = materialize(nodes.join(groups, nodes.rep == groups.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component")), "classes")
+    discard(nodes)
     return prints.join(classes, prints.fp.eqNullSafe(classes["of"]), "left").select(F.col("id").alias(id_col), "component")
 
 
