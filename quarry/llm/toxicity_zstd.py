@@ -27,6 +27,7 @@ from quarry.llm.common import keep_frames, small_batches
 #: Rows of each label that a fit reads at most, those first by a hash of their id. Their whole texts are read.
 FIT_TOXIC, FIT_ORDINARY = 2000, 4000
 DICTIONARY_BYTES = 16384
+LONG_CELLS = 32
 _FRAME = b" the text of this very window reads "
 _TOKEN = re.compile(rb"[0-9a-z'\x80-\xff]+")
 
@@ -43,7 +44,7 @@ class CompressionClassifier:
         self.window_words, self.dictionary_bytes, self.contrast, self.level, self.cache_windows = window_words, dictionary_bytes, contrast, level, cache_windows
         self.dictionaries: list[tuple[bytes, bool]] = []
         self.weights: dict[tuple[int, int, int], float] = {}
-        self.beta, self.base = np.zeros(4), 0.0
+        self.beta, self.base = np.zeros(6), 0.0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_compressors", "_known")}
@@ -87,8 +88,10 @@ class CompressionClassifier:
 
     @staticmethod
     def _features(weights: list[float]) -> np.ndarray:
-        top = sorted(weights, reverse=True)[:3] + [0.0] * 3
-        return np.array([1.0, top[0], sum(top[:3]), sum(w for w in weights if w > 1)])
+        """Of a text's cells: the likeliest, the three likeliest, all likely ones, and how far the text exceeds the length (in cells) at which
+        likely cells begin to turn up by chance."""
+        top, strong = sorted(weights, reverse=True)[:3] + [0.0] * 3, [w for w in weights if w > 1]
+        return np.array([1.0, top[0], sum(top[:3]), sum(strong), max(math.log(max(len(weights), 1) / LONG_CELLS), 0.0), len(strong)])
 
     def _weight(self, toxic: float, ordinary: float, n_toxic: int, n_ordinary: int, prior: float = 3.0) -> float:
         p = (toxic + ordinary + 0.5) / (n_toxic + n_ordinary + 1)
