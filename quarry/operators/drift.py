@@ -3,6 +3,7 @@ one pass over an unpivoted table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from statistics import NormalDist
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.plans.schema import finite, running_totals
 
+#: Quantiles are exact by default; an exact one holds the different values of a column in one task. accuracy (as of percentile_approx, e.g.
+#: 10000) asks for sketches instead, for columns beyond a task's memory.
 DECILES = tuple(k / 10 for k in range(11))
 FLOOR, LEAST = 1e-4, 50
 
@@ -21,27 +24,32 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(each).alias("v")).select(*keep, "v.column", "v.x").where("x is not null")
 
 
-def quantile_edges(df: DataFrame, columns: list[str], shares: tuple[float, ...] = DECILES, where: Column | None = None) -> DataFrame:
-    """(column, edges): quantiles by linear interpolation."""
+def quantiles(x: str, shares: Iterable[float], accuracy: int | None = None) -> Column:
+    """An array of quantiles: by linear interpolation, or by a sketch."""
+    return F.percentile(x, F.array(*[F.lit(s) for s in shares])) if accuracy is None else F.percentile_approx(x, list(shares), accuracy)
+
+
+def quantile_edges(df: DataFrame, columns: list[str], shares: tuple[float, ...] = DECILES, where: Column | None = None, accuracy: int | None = None) -> DataFrame:
+    """(column, edges)"""
     rows = unpivot(df if where is None else df.where(where), columns, [])
-    return rows.groupBy("column").agg(F.percentile("x", F.array(*[F.lit(s) for s in shares])).alias("edges"))
+    return rows.groupBy("column").agg(quantiles("x", shares, accuracy).alias("edges"))
 
 
-def decile_histogram(df: DataFrame, columns: list[str], late: str) -> DataFrame:
+def decile_histogram(df: DataFrame, columns: list[str], late: str, accuracy: int | None = None) -> DataFrame:
     """(column, bin, early, late): counts in the early part's deciles. Equal edges are one; the outer ones are open; a value on
     an edge belongs above it."""
     rows = unpivot(df, columns, [late])
-    edges = rows.where(~F.col(late)).groupBy("column").agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(s) for s in DECILES]))).alias("edges"))
+    edges = rows.where(~F.col(late)).groupBy("column").agg(F.array_distinct(quantiles("x", DECILES, accuracy)).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = rows.join(F.broadcast(edges), "column").withColumn("bin", F.aggregate(inner, F.lit(0), lambda a, e: a + (F.col("x") >= e).cast("int")))  # edges: a row a column
     counts = binned.groupBy("column", "bin", "edges").agg(F.count_if(~F.col(late)).alias("early"), F.count_if(F.col(late)).alias("late"))
     return counts.select("column", "bin", "early", "late", F.size("edges").alias("n_edges"))
 
 
-def psi(df: DataFrame, columns: list[str], late: str) -> DataFrame:
+def psi(df: DataFrame, columns: list[str], late: str, accuracy: int | None = None) -> DataFrame:
     """(column, psi): sum of (q - p) ln(q / p) over the early part's deciles, shares at least 1e-4. 0 if either part has
     fewer than 50 numbers or the deciles fewer than 3 different edges."""
-    hist = decile_histogram(df, columns, late)
+    hist = decile_histogram(df, columns, late, accuracy)
     all_bins = hist.groupBy("column", "n_edges").agg(F.sum("early").alias("ne"), F.sum("late").alias("nl"))
     grid = all_bins.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0)))).alias("bin"))
     full = grid.join(hist.drop("n_edges"), ["column", "bin"], "left")
@@ -70,9 +78,9 @@ def _every(df: DataFrame, columns: list[str], measured: DataFrame, name: str, de
     return names.join(measured, "column", "left").select("column", F.coalesce(name, F.lit(default)).alias(name))
 
 
-def stability(df: DataFrame, columns: list[str], late: str, psi_max: float = 0.25, band: float = 0.15) -> DataFrame:
+def stability(df: DataFrame, columns: list[str], late: str, psi_max: float = 0.25, band: float = 0.15, accuracy: int | None = None) -> DataFrame:
     """(column, psi, adv_auc, stable)"""
-    both = psi(df, columns, late).join(adversarial_auc(df, columns, late), "column")
+    both = psi(df, columns, late, accuracy).join(adversarial_auc(df, columns, late), "column")
     return both.withColumn("stable", (F.col("psi") <= psi_max) & (F.abs(F.col("adv_auc") - 0.5) <= band))
 
 
@@ -121,11 +129,11 @@ def deduplicate(df: DataFrame, columns: list[str], rid: str, limit: float = 0.95
     return kept
 
 
-def stump_gain(df: DataFrame, columns: list[str], target: str, bins: int = 64) -> DataFrame:
+def stump_gain(df: DataFrame, columns: list[str], target: str, bins: int = 64, accuracy: int | None = None) -> DataFrame:
     """(column, gain): the largest share of the target's variance that one split at a quantile edge explains."""
     rows = unpivot(df, columns, [target])
     shares = [k / bins for k in range(1, bins)]
-    edges = rows.groupBy("column").agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(s) for s in shares]))).alias("edges"))
+    edges = rows.groupBy("column").agg(F.array_distinct(quantiles("x", shares, accuracy)).alias("edges"))
     binned = rows.join(F.broadcast(edges), "column").withColumn("bin", F.aggregate("edges", F.lit(0), lambda a, e: a + (F.col("x") >= e).cast("int")))  # a row a column
     sums = binned.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("q"))
     below, every = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("column")

@@ -100,6 +100,8 @@ def test_drift_of_equal_and_shifted_parts(spark):
     got = {r["column"]: r for r in drift.stability(df, ["same", "moved", "flat", "empty"], "late").collect()}
     assert got["same"]["psi"] < 0.05 and abs(got["same"]["adv_auc"] - 0.5) < 0.05 and got["same"]["stable"]
     assert got["moved"]["psi"] > 0.25 and got["moved"]["adv_auc"] > 0.9 and not got["moved"]["stable"]
+    near = {r["column"]: r["psi"] for r in drift.psi(df, ["same", "moved"], "late", accuracy=10_000).collect()}
+    assert near["same"] < 0.05 and abs(near["moved"] - got["moved"]["psi"]) < 0.1
     assert (got["flat"]["psi"], got["empty"]["psi"], got["empty"]["adv_auc"]) == (0.0, 0.0, 0.5)
 
 
