@@ -115,7 +115,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("tree", "leaf", "rank", "formatted", turns.alias("turns"), loss.alias("loss"))
 
 
+#: Stands for a missing tree id while trees are joined.
+_NO_TREE = -(1 << 63)
+
+
 def conversations(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
-    """Reply trees to formatted conversations: (tree, leaf, rank, formatted, mask). An empty table gives none."""
-    nodes = materialize(nodes, "nodes")
-    return format_paths(nodes, best_paths(nodes, branches))
+    """Reply trees to formatted conversations: (tree, leaf, rank, formatted, mask). An empty table gives none.
+
+    Nodes without a tree id make one tree, whose id is null again in the result. Nodes without a node id cannot
+    be replied to or placed and are left out. Of rows that share a node id in a tree, the least (by parent, role, text,
+    score; null first) counts. Null roles and texts are empty, null scores 0. Other columns are not read.
+    """
+    rows = nodes.where("node is not null").select(F.coalesce("tree", F.lit(_NO_TREE)).alias("tree"), "node", F.struct("parent", "role", "text", "score").alias("n"))
+    nodes = materialize(rows.groupBy("tree", "node").agg(F.min("n").alias("n")).select("tree", "node", "n.parent", "n.role", "n.text", "n.score"), "nodes")
+    return format_paths(nodes, best_paths(nodes, branches)).withColumn("tree", F.nullif("tree", F.lit(_NO_TREE)))

@@ -31,6 +31,8 @@ from quarry.llm.pretokens import StretchCache, VocabularySpec, library_words
 MAX_BITS = 18
 BLOCK_IDS = 1024
 SHARD_IDS = 1 << 19
+#: How a missing document id stands in a shard; it sorts before all others, as null does.
+NO_ID = -(1 << 63)
 _BOOK = struct.Struct("<4sI")
 _SHARD = struct.Struct("<4sIIIQQ")
 
@@ -223,7 +225,7 @@ def shard_frames(book, width: int, shard_ids: int = SHARD_IDS):
 
         for b in batches:
             for d, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                docs.append(d)
+                docs.append(NO_ID if d is None else d)
                 counts.append(n)
                 held.append(raw)
                 size += n
@@ -249,7 +251,7 @@ def read_frames(book, offsets):
                 starts = ends - shard.counts
                 crc = [zlib.crc32(ids[s:e].data) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids), pa.array(starts + shard.first + offsets.value[part]), pa.array(shard.counts), pa.array(crc, pa.int64())],
+                    [pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(starts + shard.first + offsets.value[part]), pa.array(shard.counts), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -260,7 +262,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     """Encode each whole text with the tokenizers library, add end_id, and write shards in ascending id order.
 
     Gives the written shards (part, first, n_ids, image) and the code book. Null and empty texts are the end id
-    alone. Ids of documents must not be null (a ValueError says so); documents that share an id
+    alone. Documents without an id come first and are read back without one; those that share an id, or have none,
     follow one another in no fixed order. Counts cover all documents; what reaches the driver is one count a vocabulary entry.
     """
     spark = df.sparkSession
@@ -268,8 +270,6 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     width = 2 if max(end_id, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     ids = materialize(rows.mapInArrow(id_frames(path, end_id, width), "id long, n_ids long, ids binary"), "token-ids")
-    if not ids.where("id is null").isEmpty():
-        raise ValueError("a document's id is null")
     counts = ids.select("ids").mapInArrow(count_frames(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     book = CodeBook.of({r.token: r.n for r in counts}, max_bits)
     held = spark.sparkContext.broadcast(book)

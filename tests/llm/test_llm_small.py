@@ -216,8 +216,9 @@ def test_token_files(spark):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert huffman.read_token_files(*huffman.write_token_files(empty(spark), path)).count() == 0
-    with pytest.raises(ValueError):
-        huffman.write_token_files(spark.createDataFrame([(None, "x")], "doc_id long, text string"), path)
+    lost = spark.createDataFrame([(None, "x"), (4, "y z"), (None, None)], "doc_id long, text string")
+    got = huffman.read_token_files(*huffman.write_token_files(lost, path)).collect()
+    assert sorted((r["doc_id"] is None, r["n_tokens"]) for r in got) == [(False, 3), (True, 1), (True, 2)] and max(r["start"] for r in got if r["doc_id"] is None) < 3
 
 
 def test_huffman_codes():
@@ -335,6 +336,19 @@ def test_reply_trees(spark):
         chat_tree.leaf_paths(spark.createDataFrame([(1, 1, 2, "u", "", 0.0), (1, 2, 1, "u", "", 0.0), (1, 3, 1, "u", "", 0.0)], nodes.schema)).count()
 
 
+def test_nodes_without_ids_and_twins(spark):
+    rows = [(None, 1, None, "user", "q", None), (None, 2, 1, "assistant", "a", None), (3, None, None, "user", "lost", 1.0), (3, 1, None, "user", "b", 1.0), (3, 1, None, "user", "a", 1.0)]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").withColumns({"leaf": F.lit(1), "up": F.lit(2), "rank": F.lit(3)})
+    got = {r["tree"]: [t["text"] for t in r["turns"]] for r in chat_tree.read_back(chat_tree.conversations(nodes)).collect()}
+    assert got == {None: ["q", "a"], 3: ["a"]}
+
+
+def test_exact_without_ids(spark):
+    df = spark.createDataFrame([(None, "a"), (5, "a"), (None, "b"), (7, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()), key=str)
+    assert got == sorted([(None, 5, 2, False), (5, 5, 2, True), (None, None, 1, True), (7, 7, 1, True)], key=str)
+
+
 def test_long_conversation(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(150)] + [(2, 0, "user", "same"), (2, 0, "user", "same"), (2, None, "system", None)]
     got = {r["tree"]: r for r in chat_tree.read_back(chat_tree.conversations(chat_tree.parents_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
