@@ -39,7 +39,7 @@ class ForcedBoundaryBPE:
     asks. Up to ``cache_words`` stretches and words are remembered.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.spec = VocabularySpec(path)

@@ -40,14 +40,14 @@ class CompressionClassifier:
     """fit() on (text, label) pairs, then score(text) in 0..1. Without rows of both labels the score is the share of
     label 1 for every text; without rows it is 0."""
 
-    def __init__(self, window_words: int = 1, dictionary_bytes: int = DICTIONARY_BYTES, contrast: float = 4.5, level: int = 19, cache_windows: int = 400_000):
+    def __init__(self, window_words: int = 1, dictionary_bytes: int = DICTIONARY_BYTES, contrast: float = 4.5, level: int = 19, cache_windows: int = 250_000):
         self.window_words, self.dictionary_bytes, self.contrast, self.level, self.cache_windows = window_words, dictionary_bytes, contrast, level, cache_windows
         self.dictionaries: list[tuple[bytes, bool]] = []
         self.weights: dict[tuple[int, int, int], float] = {}
         self.beta, self.base = np.zeros(6), 0.0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_compressors", "_known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_compressors", "_known", "_cells")}
 
     def windows(self, text: str | None) -> set[bytes]:
         words, n = tokens(text), self.window_words
@@ -75,14 +75,15 @@ class CompressionClassifier:
         return (min(len(window), 16), *(len(c.compress(framed)) for c in self._compressors))
 
     def cells(self, text: str | None) -> set[tuple[int, int, int]]:
-        known = self.__dict__.setdefault("_known", {})
+        known, cells = self.__dict__.setdefault("_known", {}), self.__dict__.setdefault("_cells", {})
         out = set()
         for w in self.windows(text):
             cell = known.get(w)
             if cell is None:
                 if len(known) >= self.cache_windows:
                     known.clear()
-                cell = known[w] = self._lengths(w)
+                cell = self._lengths(w)
+                cell = known[w] = cells.setdefault(cell, cell)  # a few hundred different ones
             out.add(cell)
         return out
 
