@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, materialize, small_batches, without_ids
+from quarry.llm.common import BROADCAST_IDS, discard, materialize, small_batches, without_ids
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -227,22 +227,41 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 # ------------------------------------------------------------------ near copies by similarity: a radius too wide for blocks
 
-WIDE, WORD_BITS = 512, 128
-#: Share of differing bits between the word fingerprints of texts whose five-word shingles have a similarity of 0.8: a fiftieth of
-#: the words differ then, so the sets of words have a similarity of about 0.955.
-WORD_GAP = 0.0685
+WIDE = 512
+#: Two texts of similarity s agree on a band of MinHash values with probability s**ROWS, and at 0.8 on one of the bands with 0.999.
+ROWS, BANDS = 6, 23
+#: Shingles that one shard's rows may have in all: 8 bytes each in a Python worker.
+SHARD_SHINGLES = 1 << 22
 
 
 def radius_of(similarity: float, bits: int = WIDE, slack: float = 1.5) -> int:
-    """The Hamming distance of texts of that Jaccard similarity of shingles: the angle of their counts as a share of all
+    """The Hamming distance of texts of that Jaccard similarity of shingles: the angle of their sets as a share of all
     bits, plus ``slack`` standard deviations of the estimate."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
-def _majority(hashes: list[int], bits: int, chunk: int = 1 << 14) -> bytes:
+def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The hashes of the different shingles in ascending order; fewer words than a shingle make one shingle of all."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    h64, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle_words + 1)
+    grams = zip(*[words[k : k + n] for k in range(shingle_words)], strict=True) if len(words) >= shingle_words else [tuple(words)] if words else []
+    return np.unique(np.fromiter((h64(b" ".join(g), 42) for g in grams), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets in ascending order; 1 if both are empty."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common) if len(both) else 1.0
+
+
+def _majority(base: np.ndarray, bits: int, chunk: int = 1 << 14) -> bytes:
     """The SimHash of hashes: each is drawn out to ``bits`` bits by a mixing function; a bit is 1 if set in over half."""
-    base, ones = np.array(hashes, np.uint64), np.zeros(bits, np.int64)
+    ones = np.zeros(bits, np.int64)
     for at in range(0, len(base), chunk):
         lanes = []
         for k in range(bits // 64):
@@ -255,138 +274,120 @@ def _majority(hashes: list[int], bits: int, chunk: int = 1 << 14) -> bytes:
     return np.packbits(2 * ones > len(base)).tobytes()
 
 
-def wide_fingerprints(text: str | None, shingle_words: int = 5) -> tuple[bytes, bytes]:
-    """(SimHash of the shingles with repeats, SimHash of the set of words); zeros for a text without words."""
+def band_keys(shingles: np.ndarray, chunk: int = 1024) -> list[int]:
+    """A signed key a band of the set's MinHash values; none for the empty set."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(WIDE // 8), bytes(WORD_BITS // 8)
-    h64, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle_words + 1)
-    grams = zip(*[words[k : k + n] for k in range(shingle_words)], strict=True) if len(words) >= shingle_words else [tuple(words)]
-    return _majority([h64(b" ".join(g), 42) for g in grams], WIDE), _majority([h64(w, 43) for w in set(words)], WORD_BITS)
+    if not len(shingles):
+        return []
+    rng = np.random.default_rng(3)
+    times, plus = (rng.integers(0, 1 << 32, size=(ROWS * BANDS, 1), dtype=np.uint32) for _ in range(2))
+    times |= np.uint32(1)
+    least, x = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32), (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(x), chunk):
+        np.minimum(least, (x[at : at + chunk] * times + plus).min(axis=1), out=least)
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _node(shingles: np.ndarray) -> int:
+    import xxhash
 
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), 5))
 
-def wide_frames(shingle_words: int):
-    """For mapInArrow over (id, text): (id, fp, words)."""
+
+def band_frames(shingle_words: int):
+    """For mapInArrow over (id, text): (id, node, size, bands); node stands for the set of shingles."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprints(t.as_py(), shingle_words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in fps], pa.binary()), pa.array([w for _, w in fps], pa.binary())], ["id", "fp", "words"])
+            nodes, sizes, bands = [], [], []
+            for t in b.column(1):
+                got = shingle_set(t.as_py(), shingle_words)
+                nodes.append(_node(got))
+                sizes.append(len(got))
+                bands.append(band_keys(got))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "node", "size", "bands"])
 
     return run
 
 
-def tables_for(nodes: int, gap: float = WORD_GAP, recall: float = 0.995, seed: int = 3) -> list[list[int]]:
-    """Orders of the word bits, one a table; a table's key are its first bits(nodes) of them. There are as many tables as it takes for
-    two texts at that gap to meet in one with probability ``recall``; both grow with the logarithm of the input."""
-    k = bits_for(nodes)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - gap) ** k))
-    rng = np.random.default_rng(seed)
-    return [rng.permutation(WORD_BITS).tolist() for _ in range(count)]
-
-
-def bits_for(nodes: int) -> int:
-    return max(10, math.ceil(math.log2(max(nodes, 2))) + 2)
-
-
-def sample_frames(tables: list[list[int]], k: int, level: int):
-    """For mapInArrow over (table, words, fp, rep), table -1 meaning all: a row a table with a key of k bits of its order."""
+def content_frames(shingle_words: int):
+    """For mapInArrow over (text): (node, fp, shingles), fp the SimHash of the set."""
     import pyarrow as pa
 
-    picks = np.array([t[:k] for t in tables])
-    powers = np.random.default_rng(9 + level).integers(1, 1 << 62, size=k, dtype=np.int64) * 2 + 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1).astype(np.int64)
-            given = b.column(0).to_numpy()
-            for t in range(len(tables)):
-                rows = np.flatnonzero((given == t) | (given < 0))
-                if len(rows):
-                    key = (bits[np.ix_(rows, picks[t])] * powers).sum(axis=1) ^ np.int64(t * 0x1000193 + level)
-                    kept = b.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), t, np.int64)), kept.column(1), kept.column(2), kept.column(3)], ["key", "table", "words", "fp", "rep"])
+            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([_majority(x, WIDE) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "fp", "shingles"])
 
     return run
 
 
-def route_by_samples(nodes: DataFrame, count: int, shard_nodes: int) -> DataFrame:
-    """(key, fp, rep): every node under one shard a table, chosen by sampled bits of its word fingerprint.
+def members_of_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, weight): the nodes under each band key that several have, with the key's nodes and shingles in all. Of keys
+    with the same nodes one is enough."""
+    banded = nodes.select("node", "size", F.explode("bands").alias("key"))
+    keys = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("node").alias("lo"), F.max("node").alias("hi"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    one = keys.where("n > 1").groupBy("n", "weight", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key"))
+    return banded.join(one.select("key", "n", "weight"), "key").select("key", "node", "n", "weight")
 
-    A shard over ``shard_nodes`` is split by further bits of its table's order, as often as needed; what then still
-    agrees in all word bits is split by the shingle fingerprint's.
-    """
-    tables, k, done = tables_for(count), bits_for(count), None
-    frontier = nodes.select(F.lit(-1).cast("long").alias("table"), "words", "fp", "rep")
-    for level in range(WORD_BITS):
-        keyed = frontier.mapInArrow(sample_frames(tables, min(k, WORD_BITS), level), "key long, table long, words binary, fp binary, rep long")
-        if level or k >= WORD_BITS:
-            keyed = materialize(keyed, "samples")
-        large = materialize(keyed.groupBy("key").count().where(F.col("count") > shard_nodes).select("key"), "large")
-        if k >= WORD_BITS:
-            keyed = keyed.join(large.withColumn("hot", F.lit(True)), "key", "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("key", F.substring("fp", 1, 4))).otherwise(F.col("key")))
-            part = keyed.select("key", "fp", "rep")
-            return part if done is None else done.unionByName(part)
-        if large.isEmpty():
-            part = keyed.select("key", "fp", "rep")
-            return part if done is None else done.unionByName(part)
-        part = keyed.join(large, "key", "left_anti").select("key", "fp", "rep")
-        done = part if done is None else done.unionByName(part)
-        frontier = materialize(keyed.join(large, "key", "left_semi").select("table", "words", "fp", "rep"), "hot")
-        k += 8
-    return done
-
-
-def wide_shard_frames(radius: int):
-    """For mapInArrow over (key, fp, rep) sorted by key: links (a, b) between reps, one tree a key."""
+
+def confirmed_frames(radius: int, similarity: float):
+    """For mapInArrow over (key, node, fp, shingles) sorted by key: links (a, b), one tree a key."""
     import pyarrow as pa
 
-    def links(fps: list[bytes], reps: list[int]):
-        return [(reps[i], reps[j]) for i, j in spanning_links([int.from_bytes(f, "big") for f in fps], radius)]
+    def links(nodes: list[int], fps: list[bytes], sets: list[np.ndarray]):
+        got = [(nodes[i], nodes[j]) for i, j in spanning_links([int.from_bytes(f, "big") for f in fps], radius)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, reps = None, [], []
+        key, nodes, fps, sets = None, [], [], []
         for b in batches:
-            out = []
-            for k, fp, rep in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, node, fp, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != key:
                     if len(fps) > 1:
-                        out += links(fps, reps)
-                    key, fps, reps = k, [], []
+                        yield links(nodes, fps, sets)
+                    key, nodes, fps, sets = k, [], [], []
+                nodes.append(node)
                 fps.append(fp)
-                reps.append(rep)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        if len(fps) > 1 and (out := links(fps, reps)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                sets.append(np.frombuffer(shingles, np.uint64))
+        if len(fps) > 1:
+            yield links(nodes, fps, sets)
 
     return run
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 2048) -> DataFrame:
-    """One row per input row: (id, component): classes of texts whose shingles have a similarity of at least ``similarity``, as
-    their 256-bit SimHashes tell it; component is the smallest id of the class.
+def similar_links(members: DataFrame, contents: DataFrame, similarity: float, shard_nodes: int, shard_shingles: int) -> DataFrame:
+    """(a, b): links that span the classes of nodes which share a key and have the similarity."""
+    full = members.join(contents, "node").select("key", "node", "fp", "shingles")
+    return materialize(full.repartition("key").sortWithinPartitions("key").mapInArrow(confirmed_frames(radius_of(similarity), similarity), "a long, b long"), "near-links")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 1024, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """One row per input row: (id, component): classes of texts linked by a Jaccard similarity of their sets of shingles of at least
+    ``similarity``; component is the smallest id of the class.
 
-    The radius is some 90 of 512 bits, which no blocks of equal bits can guarantee, so shards are chosen by samples of
-    a second fingerprint, of the set of words; two texts of similarity 0.8 meet in a shard with probability 0.995, closer
-    ones with a higher one. Nulls, blanks, ties and empty tables are treated as in near_groups.
+    Candidates share a band of MinHash values of the shingles (0.999 of the pairs at 0.8, more of closer ones, however the words
+    were edited) and are near in the tree of their 512-bit SimHashes.
+    Nulls, blanks, ties and empty tables are treated as in near_groups.
     """
     small_batches(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(wide_frames(shingle_words), "id long, fp binary, words binary"), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.min("words").alias("words")).where("rep is not null"), "nodes")
-    shards = route_by_samples(nodes, nodes.count(), shard_nodes)
-    links = shards.repartition("key").sortWithinPartitions("key").mapInArrow(wide_shard_frames(radius_of(similarity)), "a long, b long")
-    groups = connected_components(links)
-    classes = materialize(nodes.join(groups, nodes.rep == groups.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component")), "classes")
-    discard(nodes)
-    return prints.join(classes, prints.fp.eqNullSafe(classes["of"]), "left").select(F.col("id").alias(id_col), "component")
+    prints = materialize(rows.mapInArrow(band_frames(shingle_words), "id long, node long, size long, bands array<long>"), "fingerprints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    members = materialize(members_of_bands(nodes), "members")
+    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("_id")).distinct(), "wanted")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
+    contents = materialize(texts.mapInArrow(content_frames(shingle_words), "node long, fp binary, shingles binary").dropDuplicates(["node"]), "contents")
+    groups = connected_components(similar_links(members, contents, similarity, shard_nodes, shard_shingles))
+    discard(members, contents)
+    labels = materialize(nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("label")), "labels")
+    least = labels.groupBy("label").agg(F.min("rep").alias("component"))
+    classes = materialize(labels.join(least, "label").select(F.col("node").alias("of"), "component"), "classes")
+    discard(nodes, labels)
+    return prints.join(classes, prints.node == classes["of"]).select(F.col("id").alias(id_col), "component")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None, **params) -> DataFrame:

@@ -379,3 +379,36 @@ def test_license_cosine_is_plain_cosine():
     tvec = {w: index.idf[w] for w in licenses.terms(licenses.TEMPLATES[t][1])}
     want = sum(vec[w] * tvec[w] for w in vec if w in tvec) / math.sqrt(sum(v * v for v in vec.values())) / math.sqrt(sum(v * v for v in tvec.values()))
     assert sim == pytest.approx(want)
+
+
+# ------------------------------------------------------------------ near copies: other edits, hot groups, exact similarity
+
+
+def plain_similarity(a, b):
+    grams = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def components_of(spark, texts, **params):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in simhash_bk.similar_groups(rows, **params).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_of_any_edit(spark):
+    rng, texts = random.Random(21), []
+    fresh = lambda n, tag: [f"{tag}x{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(60):
+        base = fresh(100, f"a{k}")
+        texts += [" ".join(base), " ".join(base + fresh(24, f"b{k}"))]  # appended
+    for k in range(60):
+        base = fresh(250, f"c{k}")
+        texts += [" ".join(base), " ".join(base[:202])]  # cut off
+    for k in range(6):
+        base = [f"d{k}x{rng.randrange(500)}" for _ in range(5000)]
+        copy = [f"new{rng.randrange(10**9)}" if rng.random() < 0.02 else w for w in base]
+        texts += [" ".join(base), " ".join(copy)]
+    near = [i for i in range(0, len(texts), 2) if plain_similarity(texts[i], texts[i + 1]) >= 0.8]
+    assert len(near) >= 120
+    got = components_of(spark, texts)
+    assert sum(got[i + 1] != i for i in near) <= 1
