@@ -103,9 +103,9 @@ class BKTree:
         return found
 
 
-def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+def spanning_links(values: list[int], radius: int, confirm=None) -> list[tuple[int, int]]:
     """Index pairs within the radius that span the classes of the values: every value is searched against the tree
-    of those before it, and a pair that only closes a circle is left out."""
+    of those before it, and a pair that only closes a circle is left out. Given confirm(i, j), only pairs it holds for link."""
     tree, root, out = BKTree(), list(range(len(values))), []
 
     def find(i: int) -> int:
@@ -117,7 +117,7 @@ def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     for i, v in enumerate(values):
         for j in tree.within(v, radius):
             a, b = find(i), find(j)
-            if a != b:
+            if a != b and (confirm is None or confirm(j, i)):
                 root[max(a, b)] = min(a, b)
                 out.append((j, i))
         tree.add(v)
@@ -234,9 +234,9 @@ ROWS, BANDS = 6, 23
 SHARD_SHINGLES = 1 << 22
 
 
-def radius_of(similarity: float, bits: int = WIDE, slack: float = 1.5) -> int:
+def radius_of(similarity: float, bits: int = WIDE, slack: float = 7) -> int:
     """The Hamming distance of texts of that Jaccard similarity of shingles: the angle of their sets as a share of all
-    bits, plus ``slack`` standard deviations of the estimate."""
+    bits, plus ``slack`` standard deviations of the estimate. The widest need is sets of 4 and 5: a share of 0.1875."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
@@ -334,11 +334,16 @@ def members_of_bands(nodes: DataFrame) -> DataFrame:
 
 
 def confirmed_frames(radius: int, similarity: float):
-    """For mapInArrow over (key, node, fp, shingles) sorted by key: links (a, b), one tree a key."""
+    """For mapInArrow over (key, node, fp, shingles) sorted by key: links (a, b), one tree a key. The tree finds candidates; a link is
+    what has the similarity in truth."""
     import pyarrow as pa
 
     def links(nodes: list[int], fps: list[bytes], sets: list[np.ndarray]):
-        got = [(nodes[i], nodes[j]) for i, j in spanning_links([int.from_bytes(f, "big") for f in fps], radius)]
+        def confirm(i: int, j: int) -> bool:
+            a, b = sets[i], sets[j]
+            return min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-6 and jaccard(a, b) >= similarity
+
+        got = [(nodes[i], nodes[j]) for i, j in spanning_links([int.from_bytes(f, "big") for f in fps], radius, confirm)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +374,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``similarity``; component is the smallest id of the class.
 
     Candidates share a band of MinHash values of the shingles (0.999 of the pairs at 0.8, more of closer ones, however the words
-    were edited) and are near in the tree of their 512-bit SimHashes.
+    were edited) and are near in the tree of their 512-bit SimHashes; each link is confirmed by the sets themselves.
     Nulls, blanks, ties and empty tables are treated as in near_groups.
     """
     small_batches(df.sparkSession)

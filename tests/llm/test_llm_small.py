@@ -412,3 +412,32 @@ def test_near_copies_of_any_edit(spark):
     assert len(near) >= 120
     got = components_of(spark, texts)
     assert sum(got[i + 1] != i for i in near) <= 1
+
+
+@pytest.mark.parametrize("shard_nodes", [1024, 5])
+def test_links_are_exact(spark, shard_nodes):
+    rng, texts = random.Random(23), []
+    for family in range(6):
+        base = [f"f{family}x{i}" for i in range(150)]
+        for _ in range(15):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randint(0, 9)):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    texts += [("the same line again and again " * 60) + " ".join(f"{k}y{i}" for i in range(40)) for k in range(4)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "q b c d e f g h i"]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if plain_similarity(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want, got = [find(i) for i in range(len(texts))], components_of(spark, texts, shard_nodes=shard_nodes)
+    assert all(want[i] == want[g] for i, g in enumerate(got))  # nothing linked below 0.8
+    assert sum(g != w for g, w in zip(got, want, strict=True)) <= 1
