@@ -363,10 +363,44 @@ def confirmed_frames(radius: int, similarity: float):
     return run
 
 
+def tiles(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, node): shards in which every two nodes of a large key meet that are not in one class yet.
+
+    large is (key, node, n, weight, parts). The nodes outside of the key's largest class are dealt to blocks, and each block
+    meets each block of all of the key's nodes. A key whose nodes are all in one class needs none.
+    """
+    told = large.join(groups, "node", "left").select("key", "node", "parts", F.coalesce("component", "node").alias("label"))
+    told = materialize(told, "labelled")
+    sizes = told.groupBy("key", "label").count()
+    most = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("n")).where("top.count < n")
+    blocks = F.ceil(2 * F.col("parts") * (F.col("n") - F.col("top.count")) / F.col("n")).cast("int")
+    todo = told.join(most.select("key", F.col("top.label").alias("main"), "n", "top"), "key").withColumn("alls", (2 * F.col("parts")).cast("int")).withColumn("rests", blocks)
+    block = lambda k: F.pmod(F.xxhash64("node", F.lit(11)), F.col(k)).cast("int")
+    every = todo.select("key", "node", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), block("alls").alias("j"))
+    rest = todo.where("label != main").select("key", "node", block("rests").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
+    return every.unionByName(rest).distinct().select(F.xxhash64("key", "i", "j").alias("key"), "node")
+
+
 def similar_links(members: DataFrame, contents: DataFrame, similarity: float, shard_nodes: int, shard_shingles: int) -> DataFrame:
-    """(a, b): links that span the classes of nodes which share a key and have the similarity."""
-    full = members.join(contents, "node").select("key", "node", "fp", "shingles")
-    return materialize(full.repartition("key").sortWithinPartitions("key").mapInArrow(confirmed_frames(radius_of(similarity), similarity), "a long, b long"), "near-links")
+    """(a, b): links that span the classes of nodes which share a key and have the similarity.
+
+    A key over ``shard_nodes`` nodes is first searched in random blocks, other blocks for other keys. Whatever two of its
+    nodes are then in different classes still meet (tiles), so that no pair goes without comparison, and many copies of
+    one text are joined by few.
+    """
+    parts = F.ceil(F.greatest(F.col("n") / shard_nodes, F.col("weight") / shard_shingles))
+    members = members.withColumn("parts", parts)
+
+    def search(shards: DataFrame, name: str) -> DataFrame:
+        full = shards.join(contents, "node").select("key", "node", "fp", "shingles")
+        return materialize(full.repartition("key").sortWithinPartitions("key").mapInArrow(confirmed_frames(radius_of(similarity), similarity), "a long, b long"), name)
+
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "key"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    links = search(members.select(F.xxhash64("key", part).alias("key"), "node"), "near-links")
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return links
+    return links.unionByName(search(tiles(large, connected_components(links)), "tile-links"))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 1024, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:

@@ -414,6 +414,18 @@ def test_near_copies_of_any_edit(spark):
     assert sum(got[i + 1] != i for i in near) <= 1
 
 
+def test_hot_group_of_near_copies(spark):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for k in range(2300):
+        copy = list(base)
+        for at in rng.sample(range(400), rng.randint(1, 3)):
+            copy[at] = f"e{k}x{at}"
+        texts.append(" ".join(copy))
+    assert set(components_of(spark, texts, shard_nodes=256)) == {0}
+
+
 @pytest.mark.parametrize("shard_nodes", [1024, 5])
 def test_links_are_exact(spark, shard_nodes):
     rng, texts = random.Random(23), []
