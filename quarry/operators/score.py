@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.drift import impute_median
 from quarry.operators.split import lottery, stratified_folds  # noqa: F401  (folds are part of this module's interface)
+from quarry.plans.schema import with_position
 
 
 def residual(df: DataFrame, y: str, p: str | None, name: str = "residual") -> DataFrame:
@@ -167,13 +168,25 @@ def top_scores(scores: DataFrame, k: int) -> DataFrame:
 
 
 def step_up(tests: DataFrame, p: str, key: str, q: float = 0.1) -> DataFrame:
-    """tests with (rank, adjusted, selected) by Benjamini-Hochberg: all up to the last rank k with p <= q k / m."""
-    up = Window.partitionBy(F.lit(0)).orderBy(p, key)  # a row a test: few
-    every = Window.partitionBy(F.lit(0))
-    ranked = tests.withColumns({"rank": F.row_number().over(up), "_m": F.count(F.lit(1)).over(every)})
-    from_end = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    adjusted = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("rank")).over(from_end))
-    return ranked.withColumn("adjusted", adjusted).withColumn("selected", F.col("adjusted") <= q).drop("_m")
+    """tests with (rank, adjusted, selected) by Benjamini-Hochberg: all up to the last rank k with p <= q k / m.
+
+    Ranks are numbered in ranges by many tasks; the minimum from the end is taken in stretches of ranks, and the
+    minima of the later stretches, one a stretch, are carried.
+    """
+    spark, m = tests.sparkSession, tests.count()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = with_position(tests, [p, key], "_at").withColumn("rank", (F.col("_at") + 1).cast("int"))
+    marked = placed.withColumns({"_value": F.col(p) * F.lit(m) / F.col("rank"), "_part": F.floor(F.col("_at") * parts / max(m, 1)).cast("int")})
+    least = dict(marked.groupBy("_part").agg(F.min("_value")).collect())  # as many rows as stretches
+    later, carried = None, []
+    for k in sorted(least, reverse=True):
+        carried.append((k, later))
+        later = min((v for v in (later, least[k]) if v is not None), default=None)
+    carried = spark.createDataFrame(carried, "_p int, _later double")
+    from_end = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    adjusted = F.least(F.lit(1.0), F.min("_value").over(from_end), F.col("_later"))
+    ranked = marked.join(F.broadcast(carried), F.col("_part") == F.col("_p")).withColumn("adjusted", adjusted)
+    return ranked.select(*tests.columns, "rank", "adjusted", (F.col("adjusted") <= q).alias("selected"))
 
 
 def noise_floor(scores: DataFrame, seat: str, key: str, threshold: float, most: int) -> DataFrame:

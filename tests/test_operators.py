@@ -198,3 +198,17 @@ def test_slices_and_blend(spark):
     rule = experts.SliceRule("x", None, 3.0)
     got = df.select(rule.mask().alias("m"), experts.blend(F.col("p"), F.col("q"), 0.5, rule.mask()).alias("b"), experts.blend(F.col("p"), F.col("q"), 0.5).alias("all")).collect()
     assert [tuple(r) for r in got] == [(True, 0.5, 0.5), (False, 0.2, 0.5), (False, 0.2, 0.2)]
+
+
+def test_step_up_in_ranges(spark):
+    rng = random.Random(31)
+    rows = [(k, rng.choice([rng.random(), rng.random() ** 4, 0.25, 0.001 * rng.randrange(9)])) for k in range(3000)] + [(9000, None)]
+    out = score.step_up(spark.createDataFrame(rows, "k long, p double"), "p", "k", 0.3)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()  # no task sorts all rows
+    order, low, want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1.0, {}
+    for at in range(len(order) - 1, -1, -1):
+        k, p = order[at]
+        low = low if p is None else min(low, p * len(order) / (at + 1))
+        want[k] = (at + 1, pytest.approx(low), low <= 0.3)
+    assert {r["k"]: (r["rank"], r["adjusted"], r["selected"]) for r in out.collect()} == want
+    assert score.step_up(spark.createDataFrame([], "k long, p double"), "p", "k").count() == 0
