@@ -231,10 +231,14 @@ def deduce(rows: list[tuple[str, str, int, int, int, int]], pages: int) -> dict:
     chars = {path: k for path, said, _, _, _, k in rows if not said}
     below = {p: sum(k for q, k in chars.items() if q == p or q.startswith(p + "/")) for p in chars}
     top = max((below[p] for p in below), default=0)
-    # the deepest element that still holds nearly all the text outside of boilerplate; article and main first
-    named = [p for p in below if below[p] >= 0.5 * top and p.rpartition("/")[2].partition(".")[0].partition("#")[0] in ("article", "main")]
-    most = [p for p in below if below[p] >= 0.9 * top and p.rpartition("/")[2].partition(".")[0].partition("#")[0] in BLOCKS and not p.rpartition("/")[2].startswith(("p", "h1"))]
-    article = max(named or most, key=lambda p: (p.count("/"), p), default=None) if top else None
+    # the deepest element that holds all the text of article and main elements, or else nearly all the text outside of boilerplate
+    kind = lambda p: p.rpartition("/")[2].partition(".")[0].partition("#")[0]
+    own = {p for p in below if below[p] and kind(p) in ("article", "main")}
+    outer = [p for p in own if not any(p.startswith(q + "/") for q in own)]
+    told = [q for q in chars if chars[q] and any(q == p or q.startswith(p + "/") for p in outer)]
+    named = [p for p in below if all(q == p or q.startswith(p + "/") for q in told)] if sum(below[p] for p in outer) >= 0.5 * top else []
+    most = [p for p in below if below[p] >= 0.9 * top and kind(p) in BLOCKS and not p.rpartition("/")[2].startswith(("p", "h1"))]
+    article = max([p for p in named if kind(p) in BLOCKS] or most, key=lambda p: (p.count("/"), p), default=None) if top else None
     return {"article": article, "constant": constant, "classes": [[p + ("\t" + s if s else "") for p, s in c] for c in valid]}
 
 

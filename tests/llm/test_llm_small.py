@@ -453,3 +453,12 @@ def test_links_are_exact(spark, shard_nodes):
     want, got = [find(i) for i in range(len(texts))], components_of(spark, texts, shard_nodes=shard_nodes)
     assert all(want[i] == want[g] for i, g in enumerate(got))  # nothing linked below 0.8
     assert sum(g != w for g, w in zip(got, want, strict=True)) <= 1
+
+
+def test_article_slot_holds_all_of_main(spark):
+    page = "<html><body><nav>Home</nav><main><h1>Head {0}</h1><article class=lead><p>Lead words {0} {1}</p></article><article class=more><p>More {0} {2}</p></article></main><footer>(c)</footer></body></html>"
+    apart = page.replace("<main>", "<div class=wrap>").replace("</main>", "</div>")
+    rows = [(i, f"http://{h}.example/{i}", t.format(i, "lead " * 12, "more " * 8)) for h, t in (("a", page), ("b", apart)) for i in range(12)]
+    for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Head {i}\nLead words {i} " + " ".join(["lead"] * 12) + f"\nMore {i} " + " ".join(["more"] * 8)
