@@ -46,16 +46,39 @@ def small_batches(spark: SparkSession, rows: int = 500, most_bytes: int = 8 << 2
             spark.conf.set(key, str(most))
 
 
-#: Ids sent to all tasks at once, at most: 8 bytes each before the join's own overhead.
+#: Row keys sent to all tasks at once, at most: 16 bytes each before the join's own overhead.
 BROADCAST_IDS = 1_000_000
 
 
-def without_ids(df: DataFrame, drops: DataFrame, id_col: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """df without the rows whose id is in drops' only column. The ids are written and counted first: up to
-    broadcast_ids of them go to all tasks, so the rows stay where they are; more are met by a shuffle."""
-    gone = materialize(drops.toDF("_drop").distinct(), "drops")
+def _parquet_scan(df: DataFrame) -> bool:
+    """Whether df is a table of Parquet files, at most filtered and projected, so that no row of a file comes twice."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a struct column, and its name, that tells each row from all others, whatever its ids and values: the
+    file (by hash) and the row's place in it. Lost tasks and later passes find the same keys. A df that is more than a
+    scan of Parquet files is written first."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    keyed = df if _parquet_scan(df) else materialize(df, "rows")
+    return keyed.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), name
+
+
+def without_rows(df: DataFrame, drops: DataFrame, key: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """df, which has a row key, without the key and without the rows whose key is in drops' only column. The keys are
+    written and counted first: up to broadcast_ids of them go to all tasks, so the rows stay where they are; more are
+    met by a shuffle."""
+    gone = materialize(drops.toDF("_drop").select("_drop.file", "_drop.at"), "drops").toDF("_drop_file", "_drop_at")
     few = gone.limit(broadcast_ids + 1).count() <= broadcast_ids
-    return df.join(F.broadcast(gone) if few else gone, df[id_col] == gone["_drop"], "left_anti")
+    same = (df[key]["file"] == gone["_drop_file"]) & (df[key]["at"] == gone["_drop_at"])
+    return df.join(F.broadcast(gone) if few else gone, same, "left_anti").drop(key)
 
 
 def keep_frames(decide):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, materialize, without_ids
+from quarry.llm.common import ASCII_SPACE, materialize, with_row_key, without_rows
 
 SALTS = 256
 
@@ -32,42 +32,53 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_hex) -> DataFrame:
-    """One row per input row: (id, digest, keep_id, group_size, kept).
+def _place(row: Column) -> Column:
+    """The order in which rows of equal text stay: by id, none last, then by a 62-bit hash of the row's key. One decimal, so
+    that its minimum is taken by hash aggregation, without a sort of the texts."""
+    number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return (number * F.lit(str(1 << 62)).cast("decimal(19,0)")).cast("decimal(38,0)") + F.shiftrightunsigned(F.xxhash64(row, F.lit(5)), 2).cast("decimal(19,0)")
 
-    keep_id is the smallest id among the rows of equal normalised text. Rows that repeat an id are rows of
-    their own: each is counted, and all rows with the smallest id are kept. A null id sorts after all others
-    and stands only for a group that has no other id. An empty table gives an empty result. Extra
-    columns, whatever their names, are not read. digest: any function of the normalised text; a poor one
-    costs time, never correctness.
-    """
-    rows = df.select(df[id_col].cast("long").alias("id"), normalise(df[text_col]).alias("content"))
-    rows = rows.withColumn("digest", digest(rows.content)).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(salts)).cast("int"))
-
-    salted = rows.groupBy("digest", "salt", "content").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    combined = (
-        salted.repartition("digest")  # at most `salts` rows a content: bounded, whatever the number of copies
-        .groupBy("digest", "content")
-        .agg(F.min("keep").alias("keep"), F.sum("n").alias("size"), F.collect_list("salt").alias("salts"))
-    )
-    by_digest = combined.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("contents"), F.min("keep").alias("keep"), F.sum("size").alias("size"), F.flatten(F.collect_list("salts")).alias("salts")
-    )
+
+def _judged(df: DataFrame, key: str, id_col: str, text_col: str, salts: int, digest) -> DataFrame:
+    """(id, row, digest, keep, size, kept) of every row; keep is the smallest id of the row's group."""
+    rows = df.select(df[id_col].cast("long").alias("id"), df[key].alias("row"), normalise(df[text_col]).alias("content"))
+    rows = rows.withColumns({"digest": digest(rows.content), "place": _place(rows.row).cast("decimal(38,0)"), "salt": F.pmod(F.xxhash64("row", F.lit(7)), F.lit(salts)).cast("int")})
+    partial = [F.min("id").alias("keep"), F.min("place").alias("top"), F.count(F.lit(1)).alias("n")]
+    total = [F.min("keep").alias("keep"), F.min("top").alias("top"), F.sum("n").alias("size")]
+
+    salted = rows.groupBy("digest", "salt", "content").agg(*partial)
+    combined = salted.repartition("digest").groupBy("digest", "content").agg(*total, F.collect_list("salt").alias("salts"))  # at most `salts` rows a content, whatever the copies
+    by_digest = combined.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep").alias("keep"), F.min("top").alias("top"), F.sum("size").alias("size"), F.flatten(F.collect_list("salts")).alias("salts"))
     winners = materialize(by_digest, "exact-winners")
 
-    single = winners.where("contents = 1").select("digest", F.explode("salts").alias("salt"), "keep", "size")
-    slim = rows.select("id", "digest", "salt")
-    joined = slim.join(single, ["digest", "salt"], "inner").select("id", "digest", "keep", "size")
+    single = winners.where("contents = 1").select("digest", F.explode("salts").alias("salt"), "keep", "top", "size")
+    columns = ["id", "row", "digest", "keep", "size", (F.col("place") == F.col("top")).alias("kept")]
+    joined = rows.select("id", "row", "place", "digest", "salt").join(single, ["digest", "salt"], "inner").select(*columns)
     clashes = winners.where("contents > 1").select("digest")
     if not clashes.isEmpty():
         unclear = rows.join(clashes, "digest", "left_semi")
-        by_content = unclear.groupBy("digest", "content", "salt").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-        whole = by_content.groupBy("digest", "content").agg(F.min("keep").alias("keep"), F.sum("n").alias("size"), F.collect_list("salt").alias("salts"))
-        spread = whole.select("digest", "content", F.explode("salts").alias("salt"), "keep", "size")
-        joined = joined.unionByName(unclear.join(spread, ["digest", "content", "salt"], "inner").select("id", "digest", "keep", "size"))
-    return joined.select(F.col("id").alias(id_col), "digest", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"))
+        whole = unclear.groupBy("digest", "content", "salt").agg(*partial).groupBy("digest", "content").agg(*total, F.collect_list("salt").alias("salts"))
+        spread = whole.select("digest", "content", F.explode("salts").alias("salt"), "keep", "top", "size")
+        joined = joined.unionByName(unclear.join(spread, ["digest", "content", "salt"], "inner").select(*columns))
+    return joined
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_hex) -> DataFrame:
+    """One row per input row: (id, digest, keep_id, group_size, kept).
+
+    keep_id is the smallest id among the rows of equal normalised text. Exactly one row of a group is kept: the one
+    with the smallest id, and of rows that repeat that id one chosen by a hash of its place in the table. Each row counts. A null id sorts
+    after all others and stands only for a group that has no other id. An empty table gives an empty result. Extra
+    columns, whatever their names, are not read. digest: any function of the normalised text; a poor one
+    costs time, never correctness.
+    """
+    keyed, key = with_row_key(df)
+    out = _judged(keyed, key, id_col, text_col, salts, digest)
+    return out.select(F.col("id").alias(id_col), "digest", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept")
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of df that stay, all their columns as they were; of rows that repeat the kept id, all stay."""
-    return without_ids(df, exact_groups(df, id_col, text_col, salts).where(~F.col("kept")).select(id_col), id_col)
+    """The one row of each group that stays (exact_groups), all its columns as they were."""
+    keyed, key = with_row_key(df)
+    out = _judged(keyed, key, id_col, text_col, salts, sha256_hex)
+    return without_rows(keyed, out.where(~F.col("kept")).select("row"), key)

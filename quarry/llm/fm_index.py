@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, without_ids
+from quarry.llm.common import materialize, small_batches, with_row_key, without_rows
 
 WINDOW = 10
 #: Benchmark text sent to all tasks at once, in characters; a larger benchmark is taken in blocks of about this size.
@@ -39,13 +39,13 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.items = sorted({str(i) for i, _ in items})
+        self.items = sorted({str(i) for i, _ in items if i is not None})
         number = {i: n for n, i in enumerate(self.items)}
         owners: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(number[str(item)])
+                owners.setdefault(tuple(ids[at : at + window]), set()).update([] if item is None else [number[str(item)]])
         self.lengths = np.array([len(w) for w in owners], np.int64)
         self.shortest = int(self.lengths.min()) if owners else 0
         self.codes = np.zeros((len(owners), window), np.int64)  # right-aligned, 0 before a shorter phrase
@@ -186,84 +186,99 @@ def scan_shard(phrases: Phrases, docs: list[np.ndarray]) -> list[tuple[list[tupl
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
-
-
-def scan_frames(phrases, last: bool, shard_positions: int = SHARD_POSITIONS):
-    """For mapInArrow over (id, text, n_words, spans, items): what this block of items adds; the last block drops the text."""
+def scan_frames(phrases, shard_positions: int = SHARD_POSITIONS):
+    """For mapInArrow over (key, text): (key, n_words, spans, items), key being whatever the first column holds."""
     import pyarrow as pa
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def flush(held):
-        found = scan_shard(phrases.value, [h[2] for h in held])
-        spans = [merged([*((x["start"], x["end"]) for x in h[3]), *f[0]]) for h, f in zip(held, found, strict=True)]
-        items = [sorted({*h[4], *f[1]}) for h, f in zip(held, found, strict=True)]
+    def flush(keys, held):
+        found = scan_shard(phrases.value, held)
         cols = [
-            pa.array([h[0] for h in held], pa.int64()),
-            pa.array([len(h[2]) for h in held], pa.int64()),
-            pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span),
-            pa.array(items, pa.list_(pa.string())),
+            pa.concat_arrays(keys),
+            pa.array([len(h) for h in held], pa.int64()),
+            pa.array([[{"start": s, "end": e} for s, e in f[0]] for f in found], span),
+            pa.array([f[1] for f in found], pa.list_(pa.string())),
         ]
-        names = ["id", "n_words", "spans", "items"]
-        if not last:
-            cols.insert(1, pa.array([h[1] for h in held], pa.string()))
-            names.insert(1, "text")
-        return pa.RecordBatch.from_arrays(cols, names)
+        return pa.RecordBatch.from_arrays(cols, ["key", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = phrases.value.vocab
-        held, size, kept = [], 0, 0
+        keys, held, size = [], [], 0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            spans, items = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for i, doc in enumerate(ids):
-                text = texts[i].as_py()
-                words = words_of(text)
-                codes = np.fromiter((vocab.get(w, 0) for w in words), np.int32, len(words))
-                held.append((doc, None if last else text, codes, spans[i], items[i]))
-                size += len(codes)
-                kept += len(text or "") * (not last)
-                if size >= shard_positions or kept >= 8 << 20 or len(held) >= 20_000:
-                    yield flush(held)
-                    held, size, kept = [], 0, 0
+            for at, text in enumerate(b.column(1)):
+                words = words_of(text.as_py())
+                keys.append(b.column(0).slice(at, 1))
+                held.append(np.fromiter((vocab.get(w, 0) for w in words), np.int32, len(words)))
+                size += len(words)
+                if size >= shard_positions or len(held) >= 20_000:
+                    yield flush(keys, held)
+                    keys, held, size = [], [], 0
         if held:
-            yield flush(held)
+            yield flush(keys, held)
 
     return run
 
 
+def _merged(spans):
+    """Column: ranges in ascending order, those that overlap or touch as one."""
+    none = F.expr("cast(array() as array<struct<start:long,end:long>>)")
+    wider = lambda done, s: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))
+    meets = lambda done, s: (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"])
+    return F.aggregate(F.sort_array(spans), none, lambda done, s: F.when(meets(done, s), wider(done, s)).otherwise(F.concat(done, F.array(s))))
+
+
+def _scan(rows: DataFrame, key_type: str, items: DataFrame, blocks: int, window: int) -> list[DataFrame]:
+    """Of rows (key, text) and each block of items: (key, n_words, spans, items). One block is a plan; of several, each is
+    run and written before the next one's phrases are sent, so that no task holds two; after the first only rows with hits."""
+    spark, out = rows.sparkSession, []
+    small_batches(spark)
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in part.collect()], window))  # about block_chars characters
+        found = rows.mapInArrow(scan_frames(held), f"key {key_type}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+        if blocks > 1:
+            found = materialize(found if k == 0 else found.where("size(spans) > 0"), "block-hits")
+            held.unpersist()
+        out.append(found)
+    return out
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("string").alias("text"))
+    return items, max(1, -(-(items.agg(F.sum(F.length("text") + 16)).first()[0] or 0) // block_chars))
+
+
+def _hits(found: list[DataFrame]) -> DataFrame:
+    """(key, n_words, spans, items) of the rows that any block hits, over all blocks."""
+    hits = found[0].where("size(spans) > 0")
+    if len(found) == 1:
+        return hits
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    return hits.groupBy("key").agg(
+        F.first("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row: (id, n_words, spans array of word ranges to remove, items array of matched item ids).
 
     An item of fewer words than a window is one window; an item without words, or null, matches nothing.
     Documents without words have 0 words and no spans. Item ids are compared as strings; rows that repeat an
-    item add their windows to it. Only (id, text) of either table are read. The benchmark is taken in blocks
-    of about block_chars characters, so what a task holds of it is bounded.
+    item add their windows to it; an item without an id has spans but is not listed. Only (id, text) of either table are
+    read. The benchmark is taken in blocks of about block_chars characters, one after another.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    rows = df.select(
-        df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"),
-        F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in part.collect()], window))
-        last = k == blocks - 1
-        schema = f"id long, {'' if last else 'text string, '}n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-        rows = rows.select("id", "text", "spans", "items").mapInArrow(scan_frames(held, last), schema)
-    return rows.withColumnRenamed("id", id_col)
+    items, blocks = _items(benchmark, item_col, item_text, block_chars)
+    if blocks == 1:
+        rows = df.select(df[id_col].cast("long").alias("key"), df[text_col].cast("string").alias("text"))
+        return _scan(rows, "long", items, 1, window)[0].withColumnRenamed("key", id_col)
+    keyed, key = with_row_key(df)
+    rows = keyed.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(key).alias("row")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    found = _scan(rows, "struct<id:long,row:struct<file:long,at:long>>", items, blocks, window)
+    told = _hits(found).select(F.col("key.row").alias("_at"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
+    whole = found[0].join(told, found[0]["key.row"] == told["_at"], "left")
+    return whole.select(F.col("key.id").alias(id_col), "n_words", F.coalesce("_spans", "spans").alias("spans"), F.coalesce("_items", "items").alias("items"))
 
 
 def word_spans_to_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -277,8 +292,11 @@ def word_spans_to_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0, **params) -> DataFrame:
-    """df without the rows of which more than ``share`` of the words are hit; all columns as they were."""
-    found = contamination(df, benchmark, id_col, text_col, **params)
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """df without the rows of which more than ``share`` of the words are hit, whatever their ids; all columns as they were."""
+    keyed, key = with_row_key(df)
+    rows = keyed.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text"))
+    items, blocks = _items(benchmark, item_col, item_text, block_chars)
+    hits = _hits(_scan(rows, "struct<file:long,at:long>", items, blocks, window))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return without_ids(df, found.where((F.size("spans") > 0) & (hit > share * F.col("n_words"))).select(id_col), id_col)
+    return without_rows(keyed, hits.where(hit > share * F.col("n_words")).select("key"), key)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_IDS, discard, materialize, small_batches, without_ids
+from quarry.llm.common import BROADCAST_IDS, discard, materialize, small_batches, with_row_key, without_rows
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -296,18 +296,18 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def band_frames(shingle_words: int):
-    """For mapInArrow over (id, text): (id, node, size, bands); node stands for the set of shingles."""
+    """For mapInArrow over (id, row, text): (id, row, node, size, bands); node stands for the set of shingles."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sizes, bands = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 got = shingle_set(t.as_py(), shingle_words)
                 nodes.append(_node(got))
                 sizes.append(len(got))
                 bands.append(band_keys(got))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "row", "node", "size", "bands"])
 
     return run
 
@@ -403,33 +403,46 @@ def similar_links(members: DataFrame, contents: DataFrame, similarity: float, sh
     return links.unionByName(search(tiles(large, connected_components(links)), "tile-links"))
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 1024, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
-    """One row per input row: (id, component): classes of texts linked by a Jaccard similarity of their sets of shingles of at least
-    ``similarity``; component is the smallest id of the class.
-
-    Candidates share a band of MinHash values of the shingles (0.999 of the pairs at 0.8, more of closer ones, however the words
-    were edited) and are near in the tree of their 512-bit SimHashes; each link is confirmed by the sets themselves.
-    Nulls, blanks, ties and empty tables are treated as in near_groups.
-    """
+def _near_classes(df: DataFrame, key: str, id_col: str, text_col: str, shingle_words: int, similarity: float, shard_nodes: int, shard_shingles: int) -> DataFrame:
+    """(id, row, best) of every row; best is the (no_id, id, row) of the row of its class that stays."""
     small_batches(df.sparkSession)
-    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(band_frames(shingle_words), "id long, node long, size long, bands array<long>"), "fingerprints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    rows = df.select(df[id_col].cast("long").alias("id"), df[key].alias("row"), df[text_col].cast("string").alias("text"))
+    prints = rows.mapInArrow(band_frames(shingle_words), "id long, row struct<file:long,at:long>, node long, size long, bands array<long>")
+    prints = materialize(prints, "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("rep")
+    nodes = materialize(prints.groupBy("node").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     members = materialize(members_of_bands(nodes), "members")
-    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("_id")).distinct(), "wanted")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep.row.file").alias("_file"), F.col("rep.row.at").alias("_at"))
+    wanted = materialize(wanted, "wanted")  # one row a set of shingles that shares a band
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
-    contents = materialize(texts.mapInArrow(content_frames(shingle_words), "node long, fp binary, shingles binary").dropDuplicates(["node"]), "contents")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, (rows["row.file"] == wanted["_file"]) & (rows["row.at"] == wanted["_at"]), "left_semi").select("text")
+    contents = materialize(texts.mapInArrow(content_frames(shingle_words), "node long, fp binary, shingles binary"), "contents")
     groups = connected_components(similar_links(members, contents, similarity, shard_nodes, shard_shingles))
-    discard(members, contents)
+    discard(members, contents, wanted)
     labels = materialize(nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("label")), "labels")
-    least = labels.groupBy("label").agg(F.min("rep").alias("component"))
-    classes = materialize(labels.join(least, "label").select(F.col("node").alias("of"), "component"), "classes")
+    least = labels.groupBy("label").agg(F.min("rep").alias("best"))
+    classes = materialize(labels.join(least, "label").select(F.col("node").alias("of"), "best"), "classes")
     discard(nodes, labels)
-    return prints.join(classes, prints.node == classes["of"]).select(F.col("id").alias(id_col), "component")
+    return prints.join(classes, prints.node == classes["of"]).select("id", "row", "best")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 1024, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """One row per input row: (id, component): classes of texts linked by a Jaccard similarity of their sets of shingles of at least
+    ``similarity``; component is the smallest id of the class, null where none of its rows has an id.
+
+    Candidates share a band of MinHash values of the shingles (0.999 of the pairs at 0.8, more of closer ones, however the words
+    were edited) and are near in the tree of their 512-bit SimHashes; each link is confirmed by the sets themselves.
+    Texts without words are one class; equal sets are equal before any search. Empty tables give empty results, other
+    columns are not read. shard_nodes and shard_shingles bound what a task holds and change no result.
+    """
+    keyed, key = with_row_key(df)
+    out = _near_classes(keyed, key, id_col, text_col, shingle_words, similarity, shard_nodes, shard_shingles)
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("component"))
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None, **params) -> DataFrame:
-    """df without the rows whose class (similar_groups, unless groups are given) has a smaller id; all columns as they were."""
-    groups = similar_groups(df, id_col, text_col, **params) if groups is None else groups
-    return without_ids(df, groups.where(F.col(id_col) > F.col("component")).select(id_col), id_col)
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, shard_nodes: int = 1024, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """The one row of each class (similar_groups) that stays, all its columns as they were: the one with the smallest id (none
+    sorts last), and of rows that repeat that id the first of the table."""
+    keyed, key = with_row_key(df)
+    out = _near_classes(keyed, key, id_col, text_col, shingle_words, similarity, shard_nodes, shard_shingles)
+    return without_rows(keyed, out.where(F.col("row") != F.col("best.row")).select("row"), key)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, chat_tree, exact_dedup, fm_index, html_template, huffman, langid_kn, licenses, simhash_bk, toxicity_zstd
-from quarry.llm.common import without_ids
+from quarry.llm.common import with_row_key, without_rows
 from quarry.llm.components import connected_components
 from quarry.llm.queries import vocabulary_path
 
@@ -51,7 +51,9 @@ def test_exact_edges(spark):
     assert {r["group_size"] for r in exact_dedup.exact_groups(twice).where("doc_id = 9").collect()} == {2}
     kept = exact_dedup.drop_exact(documents(spark))
     assert kept.columns == documents(spark).columns and kept.count() == len({norm(t) for t in TEXTS})
-    assert without_ids(documents(spark), spark.createDataFrame([(1,), (2,)], "x long"), "doc_id", broadcast_ids=1).count() == len(TEXTS) - 2
+    keyed, key = with_row_key(documents(spark))
+    left = without_rows(keyed, keyed.where("doc_id in (1, 2)").select(key), key, broadcast_ids=1)
+    assert left.count() == len(TEXTS) - 2 and left.columns == documents(spark).columns
 
 
 # ------------------------------------------------------------------ near dedup
@@ -135,6 +137,65 @@ def test_similar_groups(spark, shard_nodes):
     assert simhash_bk.similar_groups(empty(spark)).count() == 0
 
 
+WORDS = lambda rng, n, v=10**6: " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+
+
+def plain_similar(texts, similarity=0.8):
+    """Smallest index reachable over pairs of that Jaccard similarity, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if (len(sets[i] & sets[j]) / union if union else 1.0) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("shard_nodes", [2048, 64, 16])
+def test_family_of_copies_however_shards_are_split(spark, shard_nodes):
+    rng = random.Random(11)
+    base, texts = WORDS(rng, 200).split(), []
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 3)):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [WORDS(rng, 60, 40) for _ in range(60)]  # one set of words, other texts
+    got = {r["doc_id"]: r["component"] for r in simhash_bk.similar_groups(documents(spark, texts), shard_nodes=shard_nodes).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_similar(texts)
+    assert len({got[i] for i in range(400)}) == 1
+
+
+ROWS_TWICE = [(3, "a b", 1), (5, "a b", 2), (5, "unique", 3), (None, "a  b", 4), (None, "zz", 5), (3, "a b", 6), (9, None, 7), (9, "", 8)]
+
+
+def test_stages_remove_rows_not_ids(spark):
+    docs = spark.createDataFrame(ROWS_TWICE, "doc_id long, text string, at int")
+    at = lambda df: sorted(r["at"] for r in df.collect())
+    for kept in (exact_dedup.drop_exact(docs), simhash_bk.drop_near(docs)):
+        got = at(kept)
+        assert kept.columns == docs.columns and set(got) - {1, 6, 7, 8} == {3, 5} and len(set(got) & {1, 6}) == 1 and len(set(got) & {7, 8}) == 1
+    bench = spark.createDataFrame([("i", "zz"), (None, "unique")], "item_id string, text string")
+    for block_chars in (1 << 24, 20):
+        assert at(fm_index.decontaminate(docs, bench, block_chars=block_chars)) == [1, 2, 4, 6, 7, 8]
+        told = {r["n_words"]: r["items"] for r in fm_index.contamination(docs.where("at in (3, 5, 7)"), bench, block_chars=block_chars).where("size(spans) > 0").collect()}
+        assert told == {1: ["i"]} or told == {1: []}
+    for stage in (exact_dedup.drop_exact, simhash_bk.drop_near, lambda d: fm_index.decontaminate(d, bench)):
+        assert stage(docs.limit(0)).count() == 0
+        assert stage(docs.where("at in (4, 5)").withColumn("text", F.lit(None).cast("string"))).count() in (1, 2)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
