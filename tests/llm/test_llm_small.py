@@ -358,16 +358,79 @@ def test_extraction():
 
 
 def test_templates_of_hosts(spark):
-    shell = "<html><body><nav><a href=x>Home</a></nav><div class=wrap><div class=crumb>You are here</div><div class=post><h2>{0}</h2><p>{1}</p><p>Read our standing note.</p></div></div><footer>(c)</footer></body></html>"
+    shell = "<html><body><nav><a href=x>Home</a></nav><div class=wrap><div class=crumb>You are here</div><div class=post><h2>{0}</h2><p>{1}</p><div class=k7><b>Read our standing note.</b></div></div></div><footer>(c)</footer></body></html>"
     rows = [(i, "http://a.example/" + str(i), shell.format(f"Title {i}", f"Body text number {i} " * 5)) for i in range(12)] + [(50, None, None), (51, "http://b.example/", "<p>lone</p>"), (52, "x", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     t = {r["host"]: r for r in html_template.host_templates(pages).collect()}["a.example"]
-    assert t["article"].endswith("div.post") and ("/html/body/div.wrap/div.post/p", "Read our standing note.") in [(c["path"], c["string"]) for c in t["constant"]]
-    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages.withColumn("host", F.lit("clash")), drop_repeated=True).collect()}
-    whole = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages).collect()}
-    assert whole[3] == got[3] + "\nRead our standing note."
+    assert t["article"].endswith("div.post") and t["dropped"] == ["/html/body/div.wrap/div.post/div.k7"]
+    assert ("/html/body/div.wrap/div.post/div.k7/b", "Read our standing note.") in [(c["path"], c["string"]) for c in t["constant"]]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages.withColumn("host", F.lit("clash"))).collect()}
+    whole = {r["page_id"]: r["text"] for r in html_template.extract_pages(pages, template=False).collect()}
+    assert whole[3] == "You are here\n" + got[3] + "\nRead our standing note."  # so the template decides
     assert got[3] == "Title 3\n" + ("Body text number 3 " * 5).strip() and (got[50], got[51], got[52]) == ("", "lone", "")
     assert html_template.extract_pages(spark.createDataFrame([], pages.schema)).count() == 0
+    twice = html_template.extract_pages(pages.unionAll(pages))
+    assert twice.count() == 30 and {r["page_id"]: r["text"] for r in twice.collect()} == got
+    long = pages.limit(6).withColumn("html", F.expr("concat('<article><p>', repeat('long words ', 400000), '</p></article>')"))
+    assert {r["n_chars"] for r in html_template.extract_pages(long).collect()} == {4_399_999}
+
+
+def test_template_without_telling_names(spark):
+    """Menus, notices, promotions and page frames of meaningless names; sections that only sound like boilerplate stay."""
+    rng, rows = random.Random(31), []
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    for i in range(40):
+        menu = "".join(f"<a href=/{k}>{words(2)}</a>" for k in range(5))
+        body = "".join(f"<p>{words(30)}</p>" for _ in range(rng.randint(2, 6)))
+        notice = "<div class=q8><p>We keep small files on your machine.</p><p>Agree to this.</p></div>" if i % 10 else ""
+        odd = '<section id="related-work"><p>earlier work</p></section><div class="social-history"><p>a history</p></div><p>as <math><mi>x</mi></math> and <object>y</object> say</p>' if i == 7 else ""
+        rows.append((i, "http://h.example/x", f"<body><div class=a1><div class=b2>{menu}</div><span>{words(3)}</span></div><div class=c3><h1>{words(4)}</h1><ul class=d4>{menu}</ul>{body}{notice}{odd}</div><div class=e5>{words(3)}</div></body>"))
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        own = re.sub(r"<ul.*?</ul>|<div class=q8>.*?</div>", "", page[page.index("<h1>") : page.index("<div class=e5>")])
+        want = [re.sub(r"\s+", " ", re.sub("<[^>]+>", "", x)).strip() for x in re.split(r"</?(?:h1|p|div|section)[^>]*>", own)]
+        assert got[i] == "\n".join(filter(None, want)), i
+    assert "earlier work\na history\nas x and y say" in got[7]
+
+
+def test_hosts_of_copies_keep_their_article(spark):
+    page = "<body><nav>n</nav><article><h1>One</h1><p>Same text on all pages of this host.</p></article></body>"
+    rows = [(i, "http://c.example/", page) for i in range(30)] + [(99, "http://c.example/", page.replace("Same", "Other"))]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "One\nSame text on all pages of this host." and got[99] == "One\nOther text on all pages of this host."
+
+
+def test_classes_against_whole_vectors(spark):
+    """Classes of the summed prints are those of the occurrence vectors themselves, page by page."""
+    from xml.etree import ElementTree
+
+    rng, rows = random.Random(32), []
+    for i in range(25):
+        part = lambda tag, share: f"<{tag}>{rng.choice(['same', 'other', f'n{i}'])}</{tag}>" if rng.random() < share else ""
+        rows.append((i, "http://v.example/", f"<html><body><div>{part('b', 0.8) * 2}{part('i', 0.9)}</div><section>{part('h2', 0.7)}<div>fixed</div></section>{part('em', 0.95)}</body></html>"))
+    vectors = {}
+    for i, _, page in rows:
+        stack = [("", ElementTree.fromstring(page))]
+        while stack:
+            above, node = stack.pop()
+            path = f"{above}/{node.tag}"
+            for token in [(path, ""), *([(path, node.text)] if node.text else [])]:
+                vectors.setdefault(token, [0] * 25)[i] += 1
+            stack += [(path, child) for child in node]
+    groups = {}
+    for token, v in vectors.items():
+        if sum(x > 0 for x in v) >= 15:
+            each = max(v) if set(v) <= {0, max(v)} else 1
+            groups.setdefault(tuple(x // each for x in v), []).append(token)
+    valid = {frozenset(g) for g in groups.values() if len(g) >= 2}
+    while True:
+        paths = {p for g in valid for p, s in g if not s}
+        left = {g for g in valid if all((p if s else p.rpartition("/")[0]) in paths | {""} for p, s in g)}
+        if left == valid:
+            break
+        valid = left
+    got = html_template.host_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert {frozenset(tuple((t + "\t").split("\t")[:2]) for t in c) for c in got["classes"]} == valid
 
 
 # ------------------------------------------------------------------ conversations
