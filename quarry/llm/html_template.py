@@ -37,6 +37,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+ROOMS = frozenset("html body main article section div center table td".split())
 NEVER = frozenset("head nav header footer aside form button menu dialog".split()) | RAW
 CLOSES_P = BLOCKS - {"body", "html", "td", "th"}
 #: Words of class names and ids that mark what is not the article. A name counts if all its words are of these or of the neutral
@@ -277,9 +278,9 @@ def article_of(held: dict[str, int]) -> str | None:
     own = [p for p in below if below[p] and kind_of(p) in ("article", "main")]
     outer = [p for p in own if not any(q != p and inside(p, q) for q in own)]
     told = [q for q in held if held[q] and any(inside(q, p) for p in outer)]
-    named = [p for p in below if all(inside(q, p) for q in told)] if sum(below[p] for p in outer) >= 0.5 * top else []
-    most = [p for p in below if below[p] >= 0.9 * top and kind_of(p) not in ("p", "h1")]
-    return max([p for p in named if kind_of(p) in BLOCKS] or [p for p in most if kind_of(p) in BLOCKS], key=lambda p: (p.count("/"), p), default=None)
+    room = [p for p in below if kind_of(p) in ROOMS]
+    named = [p for p in room if all(inside(q, p) for q in told)] if sum(below[p] for p in outer) >= 0.5 * top else []
+    return max(named or [p for p in room if below[p] >= 0.9 * top], key=lambda p: (p.count("/"), p), default=None)
 
 
 def deduce(rows: list[tuple[str, str, int, int, int, int, int]], pages: int, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> dict:
