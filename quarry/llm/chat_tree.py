@@ -1,9 +1,9 @@
 """Reply trees to training conversations, in DataFrame operations only.
 
-Nodes are (tree, node, parent, role, text, score). Self-joins by doubling enumerate the paths: a table of jumps says
-which node lies 2**k above each node, and the members of every leaf's path double their reach with each join, so a
-path of n turns takes about log n joins. Branches of a tree rank by their score; each chosen path is formatted
-as one conversation.
+Nodes are (tree, node, parent, role, text, score). Self-joins by doubling climb the trees: a table of jumps says
+which node lies 2**k above each node, with the scores between summed up, so branches rank by their score before any
+path is written out. The members of the chosen leaves' paths then double their reach with each join, so a path of n
+turns takes about log n joins; each is formatted as one conversation.
 
 Format of a turn: "<|turn|>" role "\n" text "<|end|>", with the role percent-encoded and the text escaped: a backslash
 stands before each backslash, and after a "<" or "[" that would begin a control string, so no control string of
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 TURN, END = "<|turn|>", "<|end|>"
 #: What begins a control string of this template or of common ones.
@@ -41,41 +41,67 @@ def parents_of_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     ).select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", "score")
 
 
-def leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): the members of every root-to-leaf path, up steps above the leaf.
+def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Written tables (tree, node, above) of the node 2**k above each, for k = 0, 1, ...; and (tree, leaf, mean, depth) of the leaves.
 
-    A parent that isn't in the tree counts as none. A circle of replies has no leaf of its own; what hangs below a
-    circle is an error (ValueError), for its path has no root.
+    Each join doubles what a node knows: how many nodes its path to the root has and the sum of their scores (null as 0). So
+    leaves are ranked without their paths being enumerated: n rows a join, about log n joins. A parent that isn't in the tree counts
+    as none. A circle of replies has no leaf of its own; what hangs below one is an error (ValueError), for its path has no root.
     """
     ids = nodes.select("tree", "node")
-    links = nodes.where("parent is not null").select("tree", "node", "parent").join(ids.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
-    jumps = materialize(links.select("tree", "node", F.col("parent").alias("above")), "jumps")
-    leaves = ids.join(jumps.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    paths, reach = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), 1
-    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while not jumps.isEmpty():
-        if reach > most:
-            raise ValueError("a reply tree has a circle above a leaf")
-        further = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
-        paths = materialize(paths.unionByName(further), "paths")
-        jumps = materialize(jumps.join(jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("top")), ["tree", "above"]).select("tree", "node", F.col("top").alias("above")), "jumps")
+    parents = nodes.where("parent is not null").select("tree", F.col("node").alias("_node"), "parent")
+    known = parents.join(ids.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", F.col("_node").alias("node"), F.col("parent").alias("above"))
+    told = nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps")).join(known, ["tree", "node"], "left")
+    told, tables = materialize(told, "climb"), []
+    leaves = ids.join(told.where("above is not null").select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    most, reach = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while not told.where("above is not null").isEmpty():
+        if reach > most:  # only circles go on
+            if not told.where("above is not null").join(leaves, ["tree", "node"], "left_semi").isEmpty():
+                raise ValueError("a reply tree has a circle above a leaf")
+            break
+        tables.append(told)
+        up = told.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        told = told.join(up, ["tree", "above"], "left").select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"))
+        told = materialize(told, "climb")
         reach *= 2
+    ranks = materialize(told.join(leaves, ["tree", "node"], "left_semi").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("mean"), (F.col("steps") - 1).alias("depth")), "leaves")
+    discard(told)
+    return [*tables], ranks
+
+
+def members(tables: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): the members of the paths from those leaves to their roots, up steps above the leaf. Each join
+    doubles the reach of all paths at once."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, table in enumerate(tables):
+        further = paths.join(table.where("above is not null").select("tree", "node", "above"), ["tree", "node"])
+        paths = materialize(paths.unionByName(further.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))), "paths")
     return paths
 
 
+def leaf_paths(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): the members of every root-to-leaf path."""
+    tables, leaves = climb(nodes)
+    return members(tables, leaves)
+
+
 def best_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
-    """(tree, leaf, rank, node, pos): members of each tree's best ``branches`` paths (None: all), root first.
+    """(tree, leaf, rank, node, pos): members of each tree's best ``branches`` paths (None: all), root first. Only these are
+    enumerated.
 
     A path's score is the mean of its nodes' scores, null as 0; ties go to the longer path, then the smaller leaf.
     """
-    paths = leaf_paths(nodes)
-    scored = paths.join(nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
-    branch = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("depth"))
+    tables, leaves = climb(nodes)
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("depth"), F.asc("leaf"))
-    ranked = branch.withColumn("rank", F.row_number().over(order))
+    ranked = leaves.withColumn("rank", F.row_number().over(order))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
-    return paths.join(ranked.select("tree", "leaf", "rank", "depth"), ["tree", "leaf"]).select("tree", "leaf", "rank", "node", (F.col("depth") - F.col("up")).alias("pos"))
+    ranked = materialize(ranked, "ranked")
+    out = members(tables, ranked).join(ranked.select("tree", "leaf", "rank", "depth"), ["tree", "leaf"])
+    out = materialize(out.select("tree", "leaf", "rank", "node", (F.col("depth") - F.col("up")).alias("pos")), "chosen")
+    discard(*tables, leaves, ranked)
+    return out
 
 
 def format_paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
