@@ -17,15 +17,16 @@ Decoding looks max_bits up in one table, for all blocks of a shard in step.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import discard, materialize, small_batches
+from quarry.llm.common import discard, materialize, shared_dir, small_batches
 from quarry.llm.pretokens import StretchCache, VocabularySpec, library_words
 
 MAX_BITS = 18
@@ -258,34 +259,38 @@ def read_frames(book, offsets):
     return run
 
 
-def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> tuple[DataFrame, CodeBook]:
+def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, out: str | None = None) -> str:
     """Encode each whole text with the tokenizers library, add end_id, and write shards in ascending id order.
 
-    Gives the written shards (part, first, n_ids, image) and the code book. Null and empty texts are the end id
-    alone. Documents without an id come first and are read back without one; those that share an id, or have none,
+    Writes under ``out`` (a new folder of the shared one unless given), and gives its path: shards (part, first, n_ids,
+    image) and book, one row with the code book's bytes; read_token_files needs nothing else. Null and empty texts are the
+    end id alone. Documents without an id come first and are read back without one; those that share an id, or have none,
     follow one another in no fixed order. Counts cover all documents; what reaches the driver is one count a vocabulary entry.
     """
     spark = df.sparkSession
     small_batches(spark)
+    out = out or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     width = 2 if max(end_id, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     ids = materialize(rows.mapInArrow(id_frames(path, end_id, width), "id long, n_ids long, ids binary"), "token-ids")
     counts = ids.select("ids").mapInArrow(count_frames(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     book = CodeBook.of({r.token: r.n for r in counts}, max_bits)
+    spark.createDataFrame([(bytearray(book.to_bytes()),)], "book binary").coalesce(1).write.parquet(f"{out}/book")
     held = spark.sparkContext.broadcast(book)
     parts = ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
-    shards = materialize(parts.mapInArrow(shard_frames(held, width), "part long, first long, n_ids long, image binary"), "token-shards", "none")
+    shards = parts.mapInArrow(shard_frames(held, width), "part long, first long, n_ids long, image binary")
+    shards.write.option("compression", "none").parquet(f"{out}/shards")  # images are dense already
     discard(ids)
-    return shards, book
+    return out
 
 
-def read_token_files(shards: DataFrame, book: CodeBook) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read back from the shards."""
-    sc = shards.sparkSession.sparkContext
+def read_token_files(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) read back from what write_token_files wrote under out."""
+    sc, shards = spark.sparkContext, spark.read.parquet(f"{out}/shards")
     sizes = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one row a shuffle partition
     at, offsets = 0, {}
     for part in sorted(sizes):
         offsets[part] = at
         at += sizes[part]
-    held = sc.broadcast(CodeBook.from_bytes(book.to_bytes()))
+    held = sc.broadcast(CodeBook.from_bytes(bytes(spark.read.parquet(f"{out}/book").first()["book"])))
     return shards.select("part", "image").mapInArrow(read_frames(held, sc.broadcast(offsets)), "doc_id long, start long, n_tokens long, ids_crc32 long")
