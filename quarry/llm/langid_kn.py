@@ -5,13 +5,14 @@ lower ones the number of different characters seen before (continuation counts),
 languages share one sorted array of 64-bit n-gram hashes an order, with a row of log probabilities beside each; a
 gram no language saw backs off by the context's weight, which has a sorted array of its own. A text goes to the
 language of lowest cross-entropy a character. It counts as rejected where that entropy lies further above
-what the language's own texts have than ``deviations`` standard deviations, given the text's length.
+what the language's own held-out texts have, given the text's length, than all but a share of ``beyond`` of them would.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -63,15 +64,25 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _spread(squares: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Least squares of squared deviations on 1 and 1/n, neither coefficient below 0 and the second above."""
+    x = np.stack([np.ones(len(n)), 1 / n], axis=1)
+    (between, within), *_ = np.linalg.lstsq(x, squares, rcond=None)
+    if between < 0 or within <= 0:
+        between, within = (0.0, float((squares * n).mean())) if between < 0 else (float(squares.mean()), 0.0)
+    return float(between), max(float(within), 1e-6)
+
+
 class KneserNeyLanguages:
     """fit() on (text, language) pairs; entropies(texts) and predict(texts)."""
 
-    def __init__(self, order: int = ORDER, deviations: float = 5.0):
-        self.order, self.deviations = order, deviations
+    def __init__(self, order: int = ORDER, beyond: float = 0.001):
+        self.order, self.beyond = order, beyond
         self.languages: list[str] = []
 
     def fit(self, rows: list[tuple[str | None, str]]) -> KneserNeyLanguages:
-        self.languages = sorted({lang for _, lang in rows})
+        """A language whose texts have no letter is not learnt."""
+        self.languages = sorted({lang for t, lang in rows if len(characters(t))})
         if not self.languages:
             return self
         lanes, count = [], len(self.languages)
@@ -122,12 +133,15 @@ class KneserNeyLanguages:
             self.logs.append(np.log(probs + weights[own] * np.exp(lower)))
             self.contexts.append(ctx_keys)
             self.weights.append(np.log(weights))
-        self.normal = np.zeros((count, 3))  # mean entropy, spread between texts, spread of a character
+        #: of each language: mean entropy, variance between texts, variance of one character; and the limit in such deviations
+        self.normal, excess = np.zeros((count, 3)), []
         for k, texts in held.items():
-            if texts:
-                e = np.array([self._sums([c])[0][0][k] / len(c) for c in texts])
-                n = np.array([len(c) for c in texts])
-                self.normal[k] = np.average(e, weights=n), 0.05, math.sqrt(np.mean((e - np.average(e, weights=n)) ** 2 * n)) + 0.5
+            e, n = np.array([self._sums([c])[0][0][k] / len(c) for c in texts]), np.array([len(c) for c in texts])
+            mean = np.average(e, weights=n)
+            self.normal[k] = mean, *_spread((e - mean) ** 2, n)
+            excess += ((e - mean) / np.sqrt(self.normal[k, 1] + self.normal[k, 2] / n)).tolist()
+        # the held-out texts are few beside what is asked, so the tail beyond them is that of a normal distribution of their spread
+        self.limit = max(excess) + NormalDist().inv_cdf(1 - self.beyond) * float(np.std(excess)) if excess else 0.0
         return self
 
     def _logs_at(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -195,19 +209,20 @@ class KneserNeyLanguages:
             best = int(np.argmin(e))
             odds = np.exp(-(e - e[best]) * min(n, 50))
             mean, between, within = self.normal[best]
-            out.append((self.languages[best], float(1 / odds.sum()), float(e[best]), bool(e[best] > mean + self.deviations * math.sqrt(between**2 + within**2 / n))))
+            out.append((self.languages[best], float(1 / odds.sum()), float(e[best]), bool(e[best] > mean + self.limit * math.sqrt(between + within / n))))
         return out
 
 
 def fit_languages(df: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, **params) -> KneserNeyLanguages:
-    """Models from at most fit_docs whole texts a language, null languages and texts left out."""
+    """Models from at most fit_docs whole texts a language, null languages and texts left out. Of rows that repeat an id in a
+    language, the least text counts."""
     rows = (df if where is None else df.where(where)).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null")
-    ids = rows.select("i", "l", F.xxhash64("i", F.lit(29)).alias("h"))
+    ids = rows.select("i", "l").distinct().withColumn("h", F.xxhash64("i", F.lit(29)))
     chosen = []  # ids only, so that texts neither move nor reach the driver before they are chosen
     for lang in sorted(r.l for r in ids.select("l").distinct().collect()):
         chosen += [(r.i, lang) for r in ids.where(F.col("l") == lang).orderBy("h", "i").limit(fit_docs).collect()]
     picked = F.broadcast(df.sparkSession.createDataFrame(chosen, "pi long, pl string"))  # fit_docs rows a language at most
-    got = rows.join(picked, F.col("i").eqNullSafe(F.col("pi")) & (F.col("l") == F.col("pl")), "inner").where("t is not null").select("i", "t", "l").collect()
+    got = rows.join(picked, F.col("i").eqNullSafe(F.col("pi")) & (F.col("l") == F.col("pl")), "inner").where("t is not null").groupBy("i", "l").agg(F.min("t").alias("t")).collect()
     return KneserNeyLanguages(**params).fit([(r.t, r.l) for r in sorted(got, key=lambda r: (r.l, -1 if r.i is None else r.i, r.t))])
 
 
