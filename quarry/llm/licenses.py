@@ -1,19 +1,23 @@
 """License scans: sparse TF-IDF cosine to license templates, then inheritance from the nearest directory above.
 
-Every line of a file (a long line in overlapping windows) and the whole text of a license file are compared with each
-template. Weights are term counts times log((N + 1) / (df + 1)), with df of the templates' words counted over all files;
-a word of no template weighs as one that no other file has, so surrounding prose lowers the cosine. A file's own
-license is its best match of at least ``least``. A file without one takes that of the license file in the nearest
-directory at or above its own: files meet directories by joins on their ancestor paths.
+Each template is compared with every stretch of the text as long as itself, across line ends, so that a notice is found
+wherever it stands and however it is wrapped. Weights are term counts times log((N + 1) / (df + 1)), with df of the
+templates' words counted over all files; a word of no template weighs as one that no other file has, so surrounding
+prose lowers the cosine. A stretch begins and ends with a word of some template. Running sums give an upper bound of every
+stretch's cosine at once; the few whose bound reaches the best so far are computed in full.
+
+A file's own license is its best match of at least ``least``. A file without one takes that of the license file in the
+nearest directory at or above its own: files meet directories by joins on their ancestor paths.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +48,6 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 LICENSE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^copyright"
 LEAST = 0.7
-WINDOW = 48
 _TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -55,56 +58,67 @@ def terms(text: str | None) -> list[str]:
 class LicenseIndex:
     """Templates as sparse unit vectors under given document counts of their words."""
 
-    def __init__(self, df: dict[str, int], n_docs: int, templates=None, least: float = LEAST, window: int = WINDOW):
-        self.least, self.window = least, window
+    def __init__(self, df: dict[str, int], n_docs: int, templates=None, least: float = LEAST):
+        self.least = least
         self.rare = math.log(n_docs + 1) if n_docs else 1.0
-        self.idf, self.names = {}, []
-        self.postings: dict[str, list[tuple[int, float]]] = {}
-        for name, text in templates or TEMPLATES:
-            count = Counter(terms(text))
-            for w in count:
-                self.idf.setdefault(w, max(math.log((n_docs + 1) / (df.get(w, 0) + 1)), 1e-6))
-            norm = math.sqrt(sum((c * self.idf[w]) ** 2 for w, c in count.items()))
-            for w, c in count.items():
-                self.postings.setdefault(w, []).append((len(self.names), c * self.idf[w] / norm))
-            self.names.append(name)
-
-    def best(self, words: list[str]) -> tuple[float, int] | None:
-        """The cosine and number of the nearest template, if at least ``least``; ties to the first template."""
-        hits, idf = [w for w in words if w in self.idf], self.idf
-        if not hits:
-            return None
-        count = Counter(hits)
-        own = sum((c * idf[w]) ** 2 for w, c in count.items())
-        least_other = (len(words) - len(hits)) * self.rare**2  # the other words, were they all different
-        if own < self.least**2 * (own + least_other):  # no template's cosine can be higher than the share of the hits
-            return None
-        other = Counter(w for w in words if w not in idf)
-        norm = math.sqrt(own + sum((c * self.rare) ** 2 for c in other.values()))
-        dots: dict[int, float] = {}
-        for w, c in count.items():
-            for t, x in self.postings[w]:
-                dots[t] = dots.get(t, 0.0) + c * idf[w] * x
-        t = min(dots, key=lambda k: (-dots[k], k))
-        return (dots[t] / norm, t) if dots[t] / norm >= self.least else None
-
-    def units(self, text: str | None, whole: bool) -> Iterator[tuple[int, list[str]]]:
-        """(line, words): each line, a long one in windows that overlap by half; a license file also as a whole."""
-        for n, line in enumerate((text or "").split("\n")):
-            words = terms(line)
-            if words:
-                for at in range(0, max(1, len(words) - self.window // 2), self.window // 2):
-                    yield n, words[at : at + self.window]
-        if whole:
-            yield 0, terms(text)
-
-    def match(self, text: str | None, whole: bool = False) -> tuple[str | None, float, int | None]:
-        """(license, similarity, line) of the best unit, ties to the first."""
-        top: tuple = (None, 0.0, None)
-        for line, words in self.units(text, whole):
-            if (got := self.best(words)) and got[0] > top[1] + 1e-12:
-                top = (self.names[got[1]], got[0], line)
-        return top
+        counts = [Counter(terms(text)) for _, text in templates or TEMPLATES]
+        self.names = [name for name, _ in templates or TEMPLATES]
+        self.sizes = np.array([sum(c.values()) for c in counts])
+        self.code = {w: k for k, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+        self.idf = np.array([max(math.log((n_docs + 1) / (df.get(w, 0) + 1)), 1e-6) for w in self.code])
+        self.units = np.zeros((len(counts), len(self.code)))
+        for t, c in enumerate(counts):
+            for w, n in c.items():
+                self.units[t, self.code[w]] = n * self.idf[self.code[w]]
+        self.units /= np.maximum(np.linalg.norm(self.units, axis=1, keepdims=True), 1e-12)
+
+    def cosine(self, words: list[str], t: int) -> float:
+        """Of a stretch and a template, in full."""
+        dot = norm = 0.0
+        for w, n in Counter(words).items():
+            k = self.code.get(w)
+            weight = n * (self.rare if k is None else self.idf[k])
+            norm += weight * weight
+            dot += 0.0 if k is None else weight * self.units[t, k]
+        return dot / math.sqrt(norm) if norm else 0.0
+
+    def bounds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(template, start, end, bound) of the stretches whose cosine may reach ``least``: their words count as all different in the
+        norm, which is the least it can be."""
+        n, starts = len(codes), np.flatnonzero(codes >= 0)
+        known = np.maximum(codes, 0)
+        own = np.r_[0.0, np.cumsum(np.where(codes >= 0, self.idf[known] ** 2, 0.0))]
+        others = np.r_[0, np.cumsum(codes < 0)]
+        last = np.maximum.accumulate(np.where(codes >= 0, np.arange(n), -1))
+        out = []
+        for t, size in enumerate(self.sizes.tolist()):
+            ends = last[np.minimum(starts + size, n) - 1] + 1
+            dot = np.r_[0.0, np.cumsum(np.where(codes >= 0, self.units[t, known] * self.idf[known], 0.0))]
+            bound = (dot[ends] - dot[starts]) / np.sqrt(own[ends] - own[starts] + (others[ends] - others[starts]) * self.rare**2)
+            at = np.flatnonzero(bound >= self.least)
+            out.append((np.full(len(at), t), starts[at], ends[at], bound[at]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def match(self, text: str | None) -> tuple[str | None, float, int | None]:
+        """(license, similarity, line of its first word) of the best stretch; ties to the first stretch, then template."""
+        words = terms(text)
+        codes = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
+        if not (codes >= 0).any():
+            return None, 0.0, None
+        which, starts, ends, bound = self.bounds(codes)
+        top: tuple[float, int, int] | None = None
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if top and bound[k] < -top[0] - 1e-9:
+                break
+            t, s, e = int(which[k]), int(starts[k]), int(ends[k])
+            cosine = round(self.cosine(words[s:e], t), 12)
+            if cosine >= self.least and (top is None or (-cosine, s, t) < top):
+                top = -cosine, s, t
+        if top is None:
+            return None, 0.0, None
+        lower = (text or "").lower()
+        place = next(itertools.islice(_TERM.finditer(lower), top[1], None)).start()
+        return self.names[top[2]], -top[0], lower.count("\n", 0, place)
 
 
 def count_frames(vocab):
@@ -123,13 +137,12 @@ def count_frames(vocab):
 
 
 def match_frames(index):
-    """For mapInArrow over (id, path, is_license_file, text)."""
+    """For mapInArrow over (id, path, is_file, text)."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            got = [index.value.match(t.as_py(), bool(f)) for f, t in zip(b.column(2).to_pylist(), b.column(3), strict=True)]
-            names, sims, lines = zip(*got, strict=True) if got else ((), (), ())
+            names, sims, lines = zip(*[index.value.match(t.as_py()) for t in b.column(3)], strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.string()), pa.array(sims, pa.float64()), pa.array(lines, pa.int64())], ["id", "path", "is_file", "own", "similarity", "line"])
 
     return run
@@ -140,7 +153,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", path_col: str = "path",
 
     license is the file's own, else that of the license file in the nearest directory at or above it (inherited_from); of
     several in one directory the most similar, then the smallest name. Null and empty texts have no license of their own; a null path
-    is the root. Word counts cover all rows; what tasks share is the templates.
+    is the root. Rows that repeat an id or a path are files of their own. Word counts cover all rows; what tasks share is the templates.
     """
     spark = df.sparkSession
     small_batches(spark)
