@@ -212,8 +212,8 @@ def bpe_digests(df, path: str, id_col: str = "doc_id", text_col: str = "text"):
     return rows.mapInArrow(digest_frames(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_frames(path: str):
-    """For mapInArrow over (id, source, lang, text): (doc_id, source, lang, n_tokens, token_ids, decoded_sha256)."""
+def token_frames(path: str, at: int):
+    """For mapInArrow over whole rows with the text in column at: the other columns, n_tokens, token_ids, decoded_sha256."""
     import hashlib
 
     import pyarrow as pa
@@ -221,18 +221,24 @@ def token_frames(path: str):
     def run(batches):
         bpe = encoder(path)
         for b in batches:
-            raw = [bpe.encode_bytes(t.as_py()) for t in b.column(3)]
+            raw = [bpe.encode_bytes(t.as_py()) for t in b.column(at)]
             sizes = [len(x) // 4 for x in raw]
             ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
             back = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), ids, pa.array(back)], ["doc_id", "source", "lang", "n_tokens", "token_ids", "decoded_sha256"])
+            rest = [(n, c) for k, (n, c) in enumerate(zip(b.schema.names, b.columns, strict=True)) if k != at]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(sizes, pa.int64()), ids, pa.array(back)], [*(n for n, _ in rest), "n_tokens", "token_ids", "decoded_sha256"])
 
     return run
 
 
-def tokenize(df, path: str):
-    """Training rows of a document table: (doc_id, source, lang, n_tokens, token_ids, decoded_sha256)."""
+def tokenize(df, path: str, text_col: str = "text"):
+    """Training rows: df's columns but the text, with n_tokens, token_ids and decoded_sha256 (which take the place of columns of
+    these names). Null and empty texts have no ids."""
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
+
     small_batches(df.sparkSession)
-    rows = df.select(df["doc_id"].cast("long").alias("doc_id"), df["source"].cast("string").alias("source"), df["lang"].cast("string").alias("lang"), df["text"].cast("string").alias("text"))
-    return rows.mapInArrow(token_frames(path), "doc_id long, source string, lang string, n_tokens long, token_ids array<int>, decoded_sha256 string")
+    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "token_ids", "decoded_sha256")]
+    rows = df.select(*[df[c] for c in keep], df[text_col].cast("string").alias("_text"))
+    schema = StructType(rows.schema.fields[:-1]).add("n_tokens", "long").add("token_ids", ArrayType(IntegerType())).add("decoded_sha256", "string")
+    return rows.mapInArrow(token_frames(path, len(keep)), schema)

@@ -56,8 +56,7 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards, book = huffman.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
-    return huffman.read_token_files(shards, book)
+    return huffman.read_token_files(spark, huffman.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2))
 
 
 def op6_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +73,18 @@ def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+#: A small tree of files, so that the query shows inheritance: (id, path, text).
+LICENSE_PROBE = [
+    (-1, "probe/LICENSE", "Released under the MIT License."), (-2, "probe/lib/COPYING", "Licensed under the Apache License,\nVersion 2.0."),
+    (-3, "probe/main.txt", "first"), (-4, "probe/lib/deep/er/part.txt", "second"), (-5, "probes/other.txt", "third"),
+]
+
+
 def op9_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: their source is the directory, their id the name. None of them is a license file."""
+    """Documents as files: their source is the directory, their id the name. None of them is a license file; the probe's are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    return licenses.scan_licenses(docs)
+    probe = spark.createDataFrame(LICENSE_PROBE, "doc_id long, path string, text string")
+    return licenses.scan_licenses(docs.unionByName(probe))
 
 
 def op10_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_toxic: int = FIT_TOXIC, fit_ordinary: int = FIT_ORDINARY, **params) -> CompressionClassifier:
     """A classifier from at most fit_toxic and fit_ordinary labelled rows (whole texts). Rows without a label are not
-    read; an id labelled twice is toxic if any label says so. where: a condition on df's columns."""
+    read; an id labelled twice is toxic if any label says so, and of rows that repeat an id the least text counts. where: a
+    condition on df's columns."""
     known = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("_id")).agg(F.max(labels[label_col].cast("int")).alias("_y"))
     rows = (df if where is None else df.where(where)).select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
     ids = rows.select("_i").distinct().join(known, F.col("_i") == known["_id"], "inner").select("_i", "_y", F.xxhash64("_i", F.lit(17)).alias("_h"))
@@ -168,8 +169,8 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, where: Column | None = None,
     for y, most in ((0, fit_ordinary), (1, fit_toxic)):
         chosen += [(r["_i"], y) for r in ids.where(F.col("_y") == y).orderBy("_h", "_i").limit(most).select("_i").collect()]
     picked = F.broadcast(df.sparkSession.createDataFrame(chosen, "_id long, _y int"))  # fit_toxic + fit_ordinary rows at most
-    got = rows.join(picked, rows["_i"] == picked["_id"], "inner").select("_i", "_t", "_y").collect()
-    return CompressionClassifier(**params).fit([(r["_t"], r["_y"]) for r in sorted(got, key=lambda r: (r["_i"], r["_t"] or ""))])
+    got = rows.join(picked, rows["_i"] == picked["_id"], "inner").groupBy("_i", "_y").agg(F.min("_t").alias("_t")).collect()
+    return CompressionClassifier(**params).fit([(r["_t"], r["_y"]) for r in sorted(got, key=lambda r: r["_i"])])
 
 
 def score_frames(model):

@@ -269,16 +269,15 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     path = vocabulary_path()
-    shards, book = huffman.write_token_files(documents(spark), path)
-    got = {r["doc_id"]: r for r in huffman.read_token_files(shards, book).collect()}
+    got = {r["doc_id"]: r for r in huffman.read_token_files(spark, huffman.write_token_files(documents(spark), path)).collect()}
     library, at = Tokenizer.from_file(path), 0
     for i, t in enumerate(TEXTS):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    assert huffman.read_token_files(*huffman.write_token_files(empty(spark), path)).count() == 0
+    assert huffman.read_token_files(spark, huffman.write_token_files(empty(spark), path)).count() == 0
     lost = spark.createDataFrame([(None, "x"), (4, "y z"), (None, None)], "doc_id long, text string")
-    got = huffman.read_token_files(*huffman.write_token_files(lost, path)).collect()
+    got = huffman.read_token_files(spark, huffman.write_token_files(lost, path)).collect()
     assert sorted((r["doc_id"] is None, r["n_tokens"]) for r in got) == [(False, 3), (True, 1), (True, 2)] and max(r["start"] for r in got if r["doc_id"] is None) < 3
 
 
@@ -343,6 +342,66 @@ def test_languages(spark):
     assert langid_kn.KneserNeyLanguages().fit([]).predict(["abc"])[0][0] == "und"
 
 
+def test_languages_of_repeated_rows_and_blank_languages(spark):
+    rows = [(1, "same text here", "en")] * 4 + [(2, "other words there", "en"), (3, "123", "xx"), (None, "no id at all", "en"), (4, "wort und satz", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"i": F.lit("clash"), "l": F.lit(0), "score": F.lit(1)})
+    seen = []
+    fit, langid_kn.KneserNeyLanguages.fit = langid_kn.KneserNeyLanguages.fit, lambda self, r: (seen.extend(r), fit(self, r))[1]
+    try:
+        model = langid_kn.fit_languages(docs)
+    finally:
+        langid_kn.KneserNeyLanguages.fit = fit
+    assert sorted(t for t, _ in seen) == sorted(["same text here", "other words there", "123", "no id at all", "wort und satz"]) and model.languages == ["de", "en"]
+    assert langid_kn.identify(docs, model).count() == len(rows)
+    assert langid_kn.KneserNeyLanguages().fit([("123", "en")]).predict(["abc"]) == [("und", 0.0, None, True)]
+
+
+def plain_kneser_ney(texts, order, text, seen):
+    """Negative log-likelihood of a text by dictionaries of counts, straight from the definition."""
+    pad = " " * (order - 1)
+    norm = lambda t: re.sub(r"[^a-z]+", " ", t.lower()).lstrip()
+    count = [{} for _ in range(order + 1)]
+    for t in texts:
+        whole = pad + norm(t)
+        for i in range(len(pad), len(whole)):
+            for n in range(1, order + 1):
+                g = whole[i - n + 1 : i + 1]
+                count[n][g] = count[n].get(g, 0) + 1
+    for n in range(1, order):
+        before = {}
+        for g in count[n + 1]:
+            before.setdefault(g[1:], set()).add(g[0])
+        count[n] = {g: len(before.get(g, "x")) for g in count[n]}
+    unseen = 1 / (seen + 1)  # characters of any language, and one more
+
+    def p(context, c, n):
+        if n == 0:
+            return unseen
+        ones, twos = sum(v == 1 for v in count[n].values()), sum(v == 2 for v in count[n].values())
+        d = min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.05), 0.95)
+        own = {g: v for g, v in count[n].items() if g[:-1] == context}
+        lower = p(context[1:], c, n - 1)
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(own.get(context + c, 0) - d, 0) / total + d * len(own) / total * lower
+
+    whole = pad + norm(text)
+    return -sum(math.log(p(whole[i - order + 1 : i], whole[i], order)) for i in range(len(pad), len(whole)))
+
+
+def test_kneser_ney_against_plain_counts():
+    rng = random.Random(43)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 5)))
+    learn = {x: [" ".join(word(a) for _ in range(6)) for _ in range(8)] for x, a in (("x", "abcde"), ("y", "cdefgh"))}
+    model = langid_kn.KneserNeyLanguages(order=3).fit([(t, x) for x, ts in learn.items() for t in ts])
+    seen = len({c for ts in learn.values() for t in ts for c in t})
+    for _ in range(20):
+        text = " ".join(word("abcdefghij") for _ in range(5))
+        sums, _ = model._sums([langid_kn.characters(text)])
+        assert sums[0].tolist() == pytest.approx([plain_kneser_ney(learn[x], 3, text, seen) for x in ("x", "y")])
+
+
 # ------------------------------------------------------------------ pages
 
 
@@ -495,14 +554,56 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
-def test_license_cosine_is_plain_cosine():
-    index = licenses.LicenseIndex({"the": 9, "license": 3}, 10, least=0.0001)
-    words = licenses.terms("Released under the MIT License, really.")
-    sim, t = index.best(words)
-    vec = {w: index.idf.get(w, index.rare) for w in words}
-    tvec = {w: index.idf[w] for w in licenses.terms(licenses.TEMPLATES[t][1])}
-    want = sum(vec[w] * tvec[w] for w in vec if w in tvec) / math.sqrt(sum(v * v for v in vec.values())) / math.sqrt(sum(v * v for v in tvec.values()))
-    assert sim == pytest.approx(want)
+def plain_license(index, text):
+    """The best stretch by comparing each with each template."""
+    words, best = licenses.terms(text), None
+    for t, (_, template) in enumerate(licenses.TEMPLATES):
+        size = len(licenses.terms(template))
+        tvec = {}
+        for w in licenses.terms(template):
+            tvec[w] = tvec.get(w, 0) + index.idf[index.code[w]]
+        for s in range(len(words)):
+            part = words[s : s + size]
+            while part and part[-1] not in index.code:
+                part = part[:-1]
+            if not part or part[0] not in index.code:
+                continue
+            vec = {}
+            for w in part:
+                vec[w] = vec.get(w, 0) + (index.idf[index.code[w]] if w in index.code else index.rare)
+            cosine = sum(v * tvec.get(w, 0) for w, v in vec.items()) / math.sqrt(sum(v * v for v in vec.values())) / math.sqrt(sum(v * v for v in tvec.values()))
+            if cosine >= index.least - 1e-12 and (best is None or (-round(cosine, 12), s, t) < best):
+                best = -round(cosine, 12), s, t
+    return (None, 0.0) if best is None else (licenses.TEMPLATES[best[2]][0], -best[0])
+
+
+def test_license_matches_are_the_plain_ones():
+    rng, df = random.Random(41), {"the": 90, "license": 30, "of": 80, "and": 95, "to": 70, "is": 60}
+    index = licenses.LicenseIndex(df, 100)
+    words = [w for _, t in licenses.TEMPLATES for w in licenses.terms(t)]
+    for k in range(120):
+        body = [rng.choice(["prose", "x1", "words", "here", *words]) for _ in range(rng.randint(0, 60))]
+        if k % 2:
+            own = licenses.terms(rng.choice(licenses.TEMPLATES)[1])
+            own = [w for w in own if rng.random() < 0.9]
+            at = rng.randint(0, len(body))
+            body[at:at] = own
+        text = "".join(w + rng.choice([" ", "\n", " * "]) for w in body)
+        name, similarity, line = index.match(text)
+        assert (name, similarity) == pytest.approx(plain_license(index, text)) or (name, round(similarity, 9)) == (plain_license(index, text)[0], round(plain_license(index, text)[1], 9))
+        assert (line is None) == (name is None)
+    wrapped = "/*\n * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and associated\n * documentation files (the \"Software\"), to deal in the\n * Software without restriction\n */\nint x;"
+    assert index.match(wrapped)[0] == "MIT" and index.match(wrapped)[2] == 1
+    assert index.match("Some prose before. Released under the MIT License. And more of it after that, at length.")[0] == "MIT"
+
+
+def test_license_rows_that_repeat(spark):
+    rows = [(1, "a/LICENSE", "Released under the MIT License.")] * 2 + [(1, "a/x", None)] * 3 + [(None, "b/y", "")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({"own": F.lit("clash"), "id": F.lit(1), "similarity": F.lit("c")})
+    got = sorted((str(r["doc_id"]), r["path"], str(r["license"])) for r in licenses.scan_licenses(df).collect())
+    assert got == sorted([("1", "a/LICENSE", "MIT")] * 2 + [("1", "a/x", "MIT")] * 3 + [("None", "b/y", "None")])
+    long = spark.createDataFrame([(1, "x", "word " * 300_000 + "\nLicensed under CC BY-NC 4.0.")], "doc_id long, path string, text string")
+    assert licenses.scan_licenses(long).first()["own_license"] == "CC-BY-NC-4.0"
 
 
 # ------------------------------------------------------------------ near copies: other edits, hot groups, exact similarity
