@@ -119,6 +119,21 @@ ORACLE = {
                CAST(sum(escaped + length(role) + 16) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op4_fm_index": r"""
+        WITH lower AS (SELECT doc_id, NULL AS item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+            UNION ALL SELECT NULL, CAST(item_id AS VARCHAR), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+        words AS (SELECT doc_id, item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lower),
+        wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g
+                 FROM words, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE item_id IS NOT NULL AND len(w) > 0),
+        grams AS (SELECT doc_id, i, k.n, array_to_string(w[i:i + k.n - 1], ' ') AS g
+                  FROM words, (SELECT DISTINCT n FROM wins) AS k, unnest(range(1, greatest(len(w) - k.n + 2, 1))) AS t(i) WHERE item_id IS NULL),
+        found AS (SELECT doc_id, i, n, item_id FROM grams JOIN wins USING (n, g)),
+        hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) WHERE words.item_id IS NULL
+    """,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

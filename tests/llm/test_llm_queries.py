@@ -29,7 +29,7 @@ def test_columns_and_rows(spark, name):
     assert set(COLUMNS[name].split()) <= set(df.columns)
     source = "pages" if name.startswith("op1_") else "conversations" if name.startswith("op2_") else "documents"
     if source != "conversations":
-        assert df.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+        assert df.count() == spark.read.parquet(f"{SF}/{source}.parquet").count() + len(Q.LICENSE_PROBE) * name.startswith("op9_")
 
 
 def test_pipeline_stages(spark):
@@ -46,3 +46,8 @@ def test_pipeline_stages(spark):
             before, docs = rows, spark.createDataFrame(list(rows.values()), docs.schema)
         else:
             assert {r["doc_id"] for r in after.collect()} == set(before)
+
+
+def test_license_probe_inherits(spark):
+    got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in Q.op9_license_tfidf(spark, SF).where("doc_id < 0").collect()}
+    assert got == {-1: ("MIT", None), -2: ("Apache-2.0", None), -3: ("MIT", "probe/LICENSE"), -4: ("Apache-2.0", "probe/lib/COPYING"), -5: (None, None)}

@@ -319,6 +319,48 @@ def test_toxicity(spark):
     assert toxicity_zstd.toxicity_scores(empty(spark), none).count() == 0
 
 
+def test_toxicity_scores_are_the_plain_ones():
+    """Each window compressed afresh, its cell looked up, the likeliest cells put through the curve."""
+    import zstandard
+
+    rng = random.Random(44)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 7)))
+    rows = [(" ".join([*(word() for _ in range(40)), *(["blockhead", "nitwit"] * (i % 4 == 0))]), int(i % 4 == 0)) for i in range(200)]
+    model = toxicity_zstd.CompressionClassifier().fit(rows)
+    for text in [None, "", "nitwit", "The BLOCKHEAD and the dog", "x " * 3000, *[t for t, _ in rows[:10]]]:
+        weights = {}
+        for w in set(re.findall(rb"[0-9a-z'\x80-\xff]+", (text or "").lower().encode())):
+            sizes = []
+            for raw, trained in model.dictionaries:
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
+                p = zstandard.ZstdCompressionParameters.from_level(19, dict_size=len(raw), source_size=64, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                sizes.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(toxicity_zstd._FRAME + w + toxicity_zstd._FRAME)))
+            cell = (min(len(w), 16), *sizes)
+            weights[cell] = model.weights.get(cell, 0.0)
+        top, strong = sorted(weights.values(), reverse=True), [w for w in weights.values() if w > 1]
+        x = [1, top[0] if top else 0, sum(top[:3]), sum(strong), max(math.log(max(len(top), 1) / 32), 0), len(strong)]
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, model.beta)))))))
+
+
+def test_toxicity_of_repeated_rows_and_labels(spark):
+    rows = [(i, f"plain words number {i}") for i in range(40)] + [(100 + i, f"you nitwit number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows + [(3, "plain words number 3")] * 50 + [(None, "no id"), (7, None)], "doc_id long, text string").withColumns({"_t": F.lit("clash"), "score": F.lit("c"), "_id": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows] + [(3, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity_zstd.CompressionClassifier.fit = toxicity_zstd.CompressionClassifier.fit, lambda self, r, **k: (seen.extend(r), fit(self, r, **k))[1]
+    try:
+        model = toxicity_zstd.fit_toxicity(docs, labels)
+    finally:
+        toxicity_zstd.CompressionClassifier.fit = fit
+    assert len(seen) == 80 and sum(y for _, y in seen) == 40
+    scored = toxicity_zstd.toxicity_scores(docs, model)
+    assert scored.count() == docs.count() and scored.where("not score between 0 and 1").count() == 0
+    kept = toxicity_zstd.drop_toxic(docs, model, threshold=0.5)
+    assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 51 and kept.where("doc_id is null").count() == 1
+    long = spark.createDataFrame([(1, "plain words " * 300_000)], "doc_id long, text string")
+    assert toxicity_zstd.toxicity_scores(long, model).first()["score"] < 0.5
+
+
 def test_kneser_ney_sums_to_one():
     rows = [("banana bandana", "x"), ("anagram nab", "x"), ("zorro zoo", "y"), ("", "y"), (None, "y")]
     model = langid_kn.KneserNeyLanguages(order=3).fit(rows)
