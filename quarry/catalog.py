@@ -393,9 +393,9 @@ def _trailing(s, d):
 
 
 register("trailing_check", "column:s holds:b", _trailing)
-_TESTS = "ts AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000 + 1) / 1001.0::DOUBLE * (p_size / 50.0::DOUBLE) AS pv FROM part WHERE p_partkey <= 200)"
-_tests = lambda s, d: table(s, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 1000 + 1) / 1001.0 * (F.col("p_size") / 50.0)).alias("pv"))
-register("bh_select", "k:i adjusted:f selected:b", lambda s, d: score.step_up(_tests(s, d), "pv", "k", 0.3), f"WITH {_TESTS}, r AS (SELECT *, row_number() OVER (ORDER BY pv, k) AS rk, count(*) OVER () AS m FROM ts), a AS (SELECT a.k, least(1, min(b.pv * b.m / b.rk)) AS adjusted FROM r a JOIN r b ON b.rk >= a.rk GROUP BY 1) SELECT k, adjusted, adjusted <= 0.3 AS selected FROM a")
+_TESTS = "ts AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000 + 1) / 1001.0::DOUBLE * (p_size / 50.0::DOUBLE) AS pv FROM part)"
+_tests = lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 1000 + 1) / 1001.0 * (F.col("p_size") / 50.0)).alias("pv"))
+register("bh_select", "k:i adjusted:f selected:b", lambda s, d: score.step_up(_tests(s, d), "pv", "k", 0.3), f"WITH {_TESTS}, r AS (SELECT *, row_number() OVER (ORDER BY pv, k) AS rk, count(*) OVER () AS m FROM ts), a AS (SELECT k, least(1, min(pv * m / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM r) SELECT k, adjusted, adjusted <= 0.3 AS selected FROM a")
 _FLOOR = lambda s, d: score.noise_floor(_tests(s, d).select("k", (F.col("k") % 3).alias("seat"), (F.col("k") % 7 == 0).alias("is_noise"), (F.col("pv") - 0.3).alias("score")), "seat", "k", 0.2, 10)
 register("noise_floor", "k:i seat:i floor:f place:i", _FLOOR, f"WITH {_TESTS}, x AS (SELECT k, k % 3 AS seat, k % 7 = 0 AS noise, pv - 0.3::DOUBLE AS score FROM ts), f AS (SELECT seat, greatest(0.2, max(abs(score)) FILTER (noise)) AS floor FROM x GROUP BY 1) SELECT k, seat, floor, row_number() OVER (PARTITION BY seat ORDER BY abs(score) DESC, k) AS place FROM x JOIN f USING (seat) WHERE NOT noise AND abs(score) >= floor QUALIFY place <= 10")
 register("perm_exit", "feature:s importance:f", lambda s, d: admit.exits(_tests(s, d).select(F.concat(F.lit("f"), "k").alias("feature"), (F.col("pv") - 0.02).alias("importance")), 3), f"WITH {_TESTS} SELECT 'f' || k AS feature, pv - 0.02::DOUBLE AS importance FROM ts WHERE pv - 0.02::DOUBLE <= 0 ORDER BY 2, 1 LIMIT 3")
@@ -414,10 +414,10 @@ register("shadow_admit", "feature:s", _shadow)
 
 # ------------------------------------------------------------------ gates, experts
 
-register("bootstrap_se", "gain:f se:f lower:f upper:f repeats:i", lambda s, d: gate.bootstrap_gain(events(s, d), "y", "p", "q", "rid", repeats=50))
-register("gate", "region:i gain:f passed:b", lambda s, d: gate.decide(gate.bootstrap_gain(events(s, d).withColumn("region", F.col("rid") % 3), "y", "p", "q", "rid", ["region"], 50)))
-register("boot_gate", "gain:f lower:f passed:b", lambda s, d: gate.bootstrap_gain(split.audit_sample(events(s, d), "y", "rid", 5000), "y", "p", "q", "rid", repeats=50, classwise=True).withColumn("passed", F.col("lower") > 0))
-register("stack_gate", "stacked:b", lambda s, d: s.createDataFrame([(gate.stack_decision(gate.bootstrap_gain(events(s, d), "y", "p", "q", "rid", repeats=50)),)], "stacked boolean"))
+register("bootstrap_se", "gain:f se:f lower:f upper:f repeats:i", lambda s, d: gate.bootstrap_gain(events(s, d), "y", "p", "q", "rid"))
+register("gate", "region:i gain:f passed:b", lambda s, d: gate.decide(gate.bootstrap_gain(events(s, d).withColumn("region", F.col("rid") % 3), "y", "p", "q", "rid", ["region"])))
+register("boot_gate", "seed:i gain:f lower:f passed:b", lambda s, d: gate.stratified_gate(events(s, d), "y", "p", "q", "rid"))
+register("stack_gate", "stacked:b", lambda s, d: s.createDataFrame([(gate.stack_decision(gate.bootstrap_gain(events(s, d), "y", "p", "q", "rid")),)], "stacked boolean"))
 _CORE = EV + ", sk AS (SELECT unnest(['p', 'q', 'm']) AS c, unnest([p, q, (p + q) / 2]) AS s, y FROM ev), aps AS (" + _ap_sql("sk", "c") + ")"
 register("choose_core", "candidate:s ap:f chosen:b", lambda s, d: gate.choose_core(events(s, d).withColumn("m", (F.col("p") + F.col("q")) / 2), "y", ["p", "q", "m"]), f"WITH {_CORE} SELECT c AS candidate, ap, c = (SELECT c FROM aps ORDER BY ap DESC, instr('pqm', c) LIMIT 1) AS chosen FROM aps")
 

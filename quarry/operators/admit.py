@@ -31,6 +31,15 @@ def permute(df: DataFrame, column: str, rid: str, seed: int | str = 0, within: s
     return with_position(df, [rid], "_k").join(dealt, "_k").drop("_k")
 
 
+def with_shadows(df: DataFrame, columns: list[str], rid: str, seed: int | str = 0) -> tuple[DataFrame, list[str]]:
+    """df with a shadow of each column, and their names: the columns' values dealt together to other rows, so that shadows
+    relate to each other as the columns do and to nothing else. One deal, whatever the number of columns."""
+    names = [f"{c}__shadow" for c in columns]
+    ticket = F.conv(F.substring(lottery(f"{seed}|shadow", rid), 1, 13), 16, 10).cast("long")
+    dealt = with_position(df.select(rid, ticket.alias("_ticket"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]), ["_ticket", rid], "_k").select("_k", *names)
+    return with_position(df, [rid], "_k").join(dealt, "_k").drop("_k"), names
+
+
 def permutation_importance(df: DataFrame, y: str, features: list[str], rid: str, predict: Callable[[DataFrame], DataFrame], seed: int = 0, by: list[str] | None = None, within: str | None = None) -> DataFrame:
     """(by..., feature, importance): average precision lost when the feature is permuted. predict adds a column p.
 

@@ -14,9 +14,25 @@ def lottery(seed: int | str, rid: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), (F.col(rid) if isinstance(rid, str) else rid).cast("string")))
 
 
-def ticket_rank(df: DataFrame, within: list[str], seed: int | str, rid: str, name: str = "_ticket") -> DataFrame:
-    """1-based rank of each row's ticket within its groups."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(lottery(seed, rid), rid)))
+def ticket_rank(df: DataFrame, within: list[str], seed: int | str, rid: str, name: str = "_ticket", size: str | None = None) -> DataFrame:
+    """1-based rank of each row's ticket within its groups (null is one), and on demand the groups' sizes.
+
+    Tickets are evenly spread, so each group is cut into ranges of tickets: every range is numbered by a task of its own and
+    shifted by the sizes of those before it. A label that nearly all rows have is no single task's work.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    span = F.floor(F.conv(F.substring("_lot", 1, 4), 16, 10).cast("long") * parts / 65536).cast("int")
+    marked = df.withColumn("_lot", lottery(seed, rid)).withColumn("_range", span)
+    sizes = marked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(within)], F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))  # a row a group and range
+    keys = [f"_k{i}" for i in range(len(within))]
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select(*keys, "_r", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"))
+    ranked = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*within, "_range").orderBy("_lot", rid)))
+    same = F.col("_range") == F.col("_r")
+    for k, i in zip(within, keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(i))
+    out = ranked.join(shifts, same).withColumn(name, F.col("_place") + F.col("_before"))
+    return (out.withColumn(size, F.col("_size")) if size else out).drop("_lot", "_range", "_r", "_place", "_before", "_size", *keys)
 
 
 def chronological(df: DataFrame, time: str, rid: str, test: float = 0.2, valid: float = 0.2, name: str = "_part") -> DataFrame:
@@ -30,8 +46,7 @@ def chronological(df: DataFrame, time: str, rid: str, test: float = 0.2, valid:
 
 def stratified(df: DataFrame, label: str, rid: str, seed: int = 42, test: float = 0.2, valid: float = 0.2, name: str = "_part") -> DataFrame:
     """I, V, T at random within each label: first T, then V from the rest, each a rounded share."""
-    of = Window.partitionBy(label)
-    ranked = ticket_rank(df, [label], seed, rid).withColumn("_n", F.count(F.lit(1)).over(of))
+    ranked = ticket_rank(df, [label], seed, rid, size="_n")
     n_test = F.round(F.col("_n") * test)
     n_valid = F.round((F.col("_n") - n_test) * valid)
     return ranked.withColumn(name, F.when(F.col("_ticket") <= n_test, "T").when(F.col("_ticket") <= n_test + n_valid, "V").otherwise("I")).drop("_ticket", "_n")
@@ -80,7 +95,7 @@ def sample_rows(df: DataFrame, rid: str, most: int, seed: int = 0) -> DataFrame:
 
 def audit_sample(df: DataFrame, label: str, rid: str, most: int, seed: int = 0) -> DataFrame:
     """About ``most`` rows with each label's share kept."""
-    sized = ticket_rank(df, [label], seed, rid).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(label)))
+    sized = ticket_rank(df, [label], seed, rid, size="_n")
     n = df.count()
     return sized.where(F.col("_ticket") <= F.round(F.col("_n") * (min(most, n) / max(n, 1)))).drop("_ticket", "_n")
 

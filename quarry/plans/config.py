@@ -13,7 +13,7 @@ DEFAULTS: dict = {
     "route_shift_share": 0.2, "route_unseen_rate": 0.2, "max_initial_candidates": 36, "probe_trees": 20, "probe_rows": 60_000,
     "psi_max": 0.25, "auc_band": 0.15, "max_rounds": 3, "max_empty_rounds": 2, "cycles": 3, "candidate_caps": [128, 96, 64], "dedup": 0.95,
     "entry_alpha": 0.05, "entry_cap": 12, "discovery_rows": 200_000, "residual_folds": 5, "ridge_alpha": 1.0, "trailing_fraction": 0.3,
-    "exit_max_drops": 2, "harm_k": 2.0, "bootstrap_repeats": 200, "expert_min_half_positives": 100, "expert_benefit_k": 1.0, "expert_bootstrap_repeats": 100,
+    "exit_max_drops": 2, "harm_k": 2.0, "bootstrap_repeats": 1000, "expert_min_half_positives": 100, "expert_benefit_k": 1.0, "expert_bootstrap_repeats": 600,
     "slice_max_columns": 25, "skip": [], "proposals": None, "proposer": None, "templates": None,
 }
 ENVIRONMENT = {"QUARRY_LEARNER": ("learner", str), "QUARRY_SEED": ("seed", int), "QUARRY_PROPOSER": ("proposer", str)}

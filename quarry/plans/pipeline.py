@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.expr import with_expressions
 from quarry.operators import admit, drift, encode, experts, gate, history, models, score, split
-from quarry.operators.metrics import average_precision, roc_auc
 from quarry.plans import propose, templates
 from quarry.plans.schema import RID, ColumnPlan, DatasetSpec, classify, cut_lineage, detect_entities, epoch_seconds, is_number, require_valid
 from quarry.sources.io import canonical_hash, json_safe, write_report
@@ -178,21 +177,30 @@ class Run:
         return {n: pool[n] for n in entered}
 
     def shadow(self, candidates: dict, state: State) -> dict:
-        """Candidates whose permutation importance on both halves of V beats every permuted base column's."""
-        if "shadow" in self.cfg["skip"] or not candidates:
+        """Candidates whose permutation importance beats, on both halves of I, that of every candidate's shadow: a copy with its
+        values dealt to other rows, which the model is fitted with too. Importance is measured on rows the model did not see; V isn't
+        looked at."""
+        c, y = self.cfg, self.spec.label
+        if "shadow" in c["skip"] or not candidates:
             return candidates
-        y = self.spec.label
-        df = self.with_features({**state.features, **candidates})
-        fit = df.where("_part = 'I'")
-        shadows = []
-        for k in self.base[:3]:
-            fit, df, name = admit.permute(fit, k, RID, "shadow", name=f"{k}_shadow"), admit.permute(df, k, RID, "shadow", name=f"{k}_shadow"), f"{k}_shadow"
-            shadows.append(name)
+        rows = self.with_features({**state.features, **candidates}).where("_part = 'I'")
+        order = F.col("_pos") if self.spec.time_col else F.pmod(F.xxhash64(RID), F.lit(self.n_fit))
+        rows = rows.withColumn("_half", split.block_of(order, self.n_fit, 2))
+        rows, shadows = admit.with_shadows(rows, list(candidates), RID, c["seed"])
+        rows = cut_lineage(split.stratified_folds(rows, y, RID, c["oof_folds"], c["seed"]))
         columns = [*self.base, *state.features, *candidates, *shadows]
-        model = models.fit(fit, columns, y, self.cfg["learner"], self.cfg["seed"], **self.cfg["learner_settings"])
-        held = df.where("_part = 'V'").withColumn("_half", F.pmod(F.col("_pos"), F.lit(2)))
-        pi = admit.permutation_importance(held.cache(), y, [*candidates, *shadows], RID, model.predict, self.cfg["seed"], ["_half"])
+        fitted = [models.fit(rows.where(F.col("_fold") != k), columns, y, c["learner"], c["seed"] + k, **c["learner_settings"]) for k in range(c["oof_folds"])]
+
+        def unseen(stacked: DataFrame) -> DataFrame:
+            parts = [m.predict(stacked.where(F.col("_fold") == k)) for k, m in enumerate(fitted)]
+            out = parts[0]
+            for more in parts[1:]:
+                out = out.unionByName(more)
+            return out
+
+        pi = admit.permutation_importance(rows, y, [*candidates, *shadows], RID, unseen, c["seed"], ["_half"])
         kept = {r["feature"] for r in admit.shadow_admit(pi, shadows, "_half").collect()}
+        self.note("shadow", candidates=len(candidates), kept=sorted(kept))
         return {n: s for n, s in candidates.items() if n in kept}
 
     def passes(self, old: State, new: State, blocks: list[str]) -> bool:
@@ -203,7 +211,7 @@ class Run:
         half = F.when(split.block_of(F.col("_vpos"), self.n_valid * self.cfg["block_weights"][0] // sum(self.cfg["block_weights"]) or 1, 2) < 1, "a").otherwise("b")
         region = F.when(block == 1, F.concat(F.lit("1"), half)).otherwise(block.cast("string"))
         rows = v.withColumn("region", region).where(F.col("region").isin(blocks)).join(old.valid.withColumnRenamed("p", "old"), RID).join(new.valid.withColumnRenamed("p", "new"), RID)
-        gains = gate.bootstrap_gain(rows, "y", "old", "new", RID, ["region"], self.cfg["bootstrap_repeats"], self.cfg["seed"]).cache()
+        gains = gate.bootstrap_gain(rows, "y", "old", "new", RID, ["region"], self.cfg["bootstrap_repeats"], self.cfg["seed"])
         self.note("gate", state=new.name, gains=[r.asDict() for r in gains.collect()])
         return gate.harmless(gains, self.cfg["harm_k"])
 
@@ -266,17 +274,15 @@ class Run:
 
     def finish(self) -> Result:
         core, y = self.choose(), self.spec.label
-        out, aucs = {}, {}
+        out = {}
         for name, state in (("baseline", self.states[0]), ("core", core)):
             df = self.with_features(state.features)
             model = models.fit(df.where("_part in ('I', 'V')"), [*self.base, *state.features], y, self.cfg["learner"], self.cfg["seed"], **self.cfg["learner_settings"])
             out[name] = cut_lineage(model.predict(df.where("_part = 'T'")).select(RID, "p"))
         out |= self.experts(core, out["core"])
-        for name, p in out.items():
-            aucs[name] = roc_auc(self.vault._labels.join(p, RID), "_y", "p").first()["auc"]
-        aps = self.vault.evaluate(out)
+        scores = self.vault.evaluate(out)
         self.report["sha256"] = canonical_hash({k: str(v) for k, v in core.features.items()})
-        return Result({k: {"ap": aps[k], "auc": aucs[k]} for k in out}, core.features, self.report, out)
+        return Result(scores, core.features, self.report, out)
 
     def experts(self, core: State, test: DataFrame) -> dict[str, DataFrame]:
         """The core blended with an expert for the slice where it errs most, if both halves of V gain from it."""
@@ -298,7 +304,7 @@ class Run:
             v = cut_lineage(v)
             w = experts.best_weight(experts.blend_grid(v, y, "p", "_e", "_b", rule.mask()))
             mixed = v.withColumn("_new", experts.blend(F.col("p"), F.col("_e"), w, rule.mask())).withColumn("_half", F.col("_b") >= 3)
-            gains = gate.bootstrap_gain(mixed.select(RID, y, "p", "_new", "_half"), y, "p", "_new", RID, ["_half"], c["expert_bootstrap_repeats"]).cache()
+            gains = gate.bootstrap_gain(mixed.select(RID, y, "p", "_new", "_half"), y, "p", "_new", RID, ["_half"], c["expert_bootstrap_repeats"])
             if w > 0 and gate.beneficial(gains, c["expert_benefit_k"]):
                 self.note("expert", rule=rule.name, weight=w)
                 t = model.predict(df.where("_part = 'T'"), "_e").join(test, RID)
@@ -326,11 +332,9 @@ def score_feature_list(df: DataFrame, cfg: dict, features: dict, learners: tuple
     r.partition()
     r.encode()
     rows = r.with_features(features)
-    labels = r.vault._labels
-    out = []
+    predictions = {}
     for learner in learners:
         for seed in seeds:
             model = models.fit(rows.where("_part in ('I', 'V')"), [*r.base, *features], r.spec.label, learner, seed)
-            ap = average_precision(labels.join(model.predict(rows.where("_part = 'T'")).select(RID, "p"), RID), "_y", "p").first()["ap"]
-            out.append({"learner": learner, "seed": seed, "ap": ap})
-    return out
+            predictions[learner, seed] = cut_lineage(model.predict(rows.where("_part = 'T'")).select(RID, "p"))
+    return [{"learner": learner, "seed": seed, **got} for (learner, seed), got in r.vault.evaluate(predictions).items()]

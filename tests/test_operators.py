@@ -146,12 +146,67 @@ def test_bootstrap_and_gate(spark):
         budget.use()
 
 
+def plain_ap(y, p, w, classwise=False):
+    """Average precision of weighted rows: sum of recall gained times precision over distinct scores."""
+    y, p, w = np.array(y), np.array(p), np.array(w, float)
+    if classwise:
+        w = np.where(y == 1, w * (y == 1).sum() / w[y == 1].sum(), w * (y == 0).sum() / w[y == 0].sum())
+    total, out = w[y == 1].sum(), 0.0
+    for v in np.unique(p):
+        hit, above = w[(p == v) & (y == 1)].sum(), p >= v
+        out += hit / total * w[above & (y == 1)].sum() / w[above].sum() if hit else 0.0
+    return out
+
+
+@pytest.mark.parametrize("classwise", [False, True])
+def test_bootstrap_against_plain_replicates(spark, classwise):
+    rng = np.random.default_rng(9)
+    n, repeats = 3000, 40
+    y, old, new = (rng.random(n) < 0.1).astype(int), rng.integers(0, 60, n) / 60, rng.random(n)
+    new = np.where(rng.random(n) < 0.4, 0.5, np.where(y == 1, new + 0.1, new))  # one score has many rows
+    df = spark.createDataFrame([(i, i % 2, int(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(y, old, new, strict=True))], "rid long, region int, y int, old double, new double")
+    marks = np.array([r[0] for r in df.select("rid", F.xxhash64("rid", F.lit(3)).alias("m")).orderBy("rid").select("m").collect()]).view(np.uint64)
+    w = gate.replicate_weights(marks, repeats, gate._poisson_table())
+    assert abs(w[:, 1:].mean() - 1) < 0.02 and abs(w[:, 1:].var() - 1) < 0.05
+    for region, mine in ((0, np.arange(n) % 2 == 0), (1, np.arange(n) % 2 == 1)):
+        gains = [plain_ap(y[mine], new[mine], w[mine, k], classwise) - plain_ap(y[mine], old[mine], w[mine, k], classwise) for k in range(repeats + 1)]
+        got = gate.bootstrap_gain(df, "y", "old", "new", "rid", ["region"], repeats, 3, classwise).where(F.col("region") == region).first()
+        want = [gains[0], np.std(gains[1:], ddof=1), *np.quantile(gains[1:], [0.025, 0.975]), repeats]
+        assert [got[c] for c in ("gain", "se", "lower", "upper", "repeats")] == pytest.approx(want, abs=1e-9)
+    none = gate.bootstrap_gain(df.limit(0), "y", "old", "new", "rid", repeats=5).first()
+    assert none["gain"] is None and none["repeats"] == 0
+
+
+def test_stratified_gate(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, int(i % 5 == 0), float(rng.random()), float(rng.random() + 0.4 * (i % 5 == 0))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "rid long, y int, old double, new double")
+    better = gate.stratified_gate(df, "y", "old", "new", "rid", repeats=60).collect()
+    assert len(better) == 3 and all(r["passed"] and r["lower"] > 0 for r in better) and len({r["se"] for r in better}) == 3
+    assert not gate.stratified_gate(df, "y", "new", "old", "rid", repeats=60).first()["passed"]
+
+
+def test_ranks_of_tickets_in_ranges(spark):
+    from quarry.operators import split
+
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else int(i % 20 == 0)) for i in range(1500)], "rid long, y int")
+    got = split.ticket_rank(df, ["y"], 7, "rid", "k", "n")
+    assert got.columns == ["rid", "y", "k", "n"]
+    import hashlib
+
+    for label in (None, 0, 1):
+        own = sorted((hashlib.md5(f"7|{i}".encode()).hexdigest(), i) for i in range(1500) if (None if i % 50 == 0 else int(i % 20 == 0)) == label)
+        rows = {r["rid"]: (r["k"], r["n"]) for r in got.where(F.col("y").eqNullSafe(F.lit(label))).collect()}
+        assert rows == {i: (k, len(own)) for k, (_, i) in enumerate(own, 1)}
+
+
 def test_vault_opens_once(spark):
     df = spark.createDataFrame([(i, i % 2, i / 10) for i in range(10)], "rid long, y int, p double")
     vault = gate.TestVault(df, "rid", "y")
     with pytest.raises(ValueError):
         vault.evaluate({"m": df.where("rid < 9")})
-    assert vault.evaluate({"m": df})["m"] > 0
+    got = vault.evaluate({"m": df})["m"]
+    assert got["ap"] > 0 and 0 <= got["auc"] <= 1
     with pytest.raises(RuntimeError):
         vault.evaluate({"m": df})
 
