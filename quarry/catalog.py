@@ -137,14 +137,51 @@ _WIDE = {
 }
 
 
+#: What each expression means, written for SQL by hand; Q has no value where user_id is 5.
+_Q = "(value / nullif((user_id - 5) * 7.3::DOUBLE, 0))"
+_MEANING = {
+    "add": "value + user_id - 3", "neg": "-2 * value", "div": _Q, "pow": "(value / 100) * (value / 100) * (value / 100)", "np_power": "value * value",
+    "mod": "(value - 50) - 7 * floor((value - 50) / 7)", "compare": "CASE WHEN value > 10 AND value <= 100 THEN 1 ELSE 0 END", "logic": "CASE WHEN value < 50 OR user_id = 3 THEN 1 ELSE 0 END",
+    "not_equal": "CASE WHEN user_id = 7 THEN 0 ELSE 1 END", "abs": "greatest(value - 50, 50 - value) + greatest(value - 20, 20 - value)", "log": "CASE WHEN value > 0 THEN ln(value) END", "log1p": "ln(1 + value)",
+    "exp": "power(2.718281828459045::DOUBLE, -value / 100)", "expm1": "power(2.718281828459045::DOUBLE, value / 1000) - 1", "sqrt": "power(value, 0.5::DOUBLE)",
+    "maximum": "CASE WHEN value >= user_id THEN value ELSE user_id END", "minimum": f"CASE WHEN {_Q} IS NULL THEN NULL WHEN value <= {_Q} THEN value ELSE {_Q} END", "where": "CASE WHEN value > 50 THEN value ELSE -1 END",
+    "square": "power(value, 2)", "sign": "CASE WHEN value > 50 THEN 1 WHEN value < 50 THEN -1 ELSE 0 END", "to_numeric": "value", "fillna": f"coalesce({_Q}, -1)",
+    "clip": "CASE WHEN value < 5 THEN 5 WHEN value > 60 THEN 60 ELSE value END + CASE WHEN user_id < 1 THEN 1 WHEN user_id > 100 THEN 100 ELSE user_id END", "astype": "2 * floor(value)",
+    "replace": "CASE user_id WHEN 3 THEN 30 WHEN 5 THEN 50 ELSE user_id END", "to_numpy": "value", "isna": "CASE WHEN user_id = 5 OR value IS NULL THEN 1 ELSE 0 END", "isfinite": "CASE WHEN value IS NULL THEN 0 ELSE 1 END",
+    "method_pow": "value * value", "between": "CASE WHEN value >= 10 AND value <= 40 THEN 1 ELSE 0 END", "isin": "CASE WHEN user_id = 1 OR user_id = 2 OR user_id = 3 THEN 1 ELSE 0 END",
+    "round": "CASE WHEN 4 * value - floor(4 * value) = 0.5 THEN 2 * round(2 * value) ELSE floor(4 * value + 0.5) END",
+}
+
+
 def _register_expressions() -> None:
     for dialect, pool in ((STRICT, _EXPRESSIONS), (WIDE, _WIDE)):
         for name, text in pool.items():
             e = compile_expression(text, _COLUMNS, None, dialect)
-            register(f"fn_{name}", "rid:i x:f", lambda s, d, e=e: events(s, d).select("rid", e.column().alias("x")), f"WITH {EV} SELECT rid, {e.sql()} AS x FROM ev")
+            register(f"fn_{name}", "rid:i x:f", lambda s, d, e=e: events(s, d).select("rid", e.column().alias("x")), f"WITH {EV} SELECT rid, {_MEANING[name]} AS x FROM ev")
 
 
 _register_expressions()
+_REJECTED = [
+    "df['value'] + df['absent']", "__import__('os').getcwd()", "df['value'].apply(len)", "df.groupby('user_id')", "lambda x: x", "[x for x in df]", "df['value'].__class__", "open('x')", "np.load('x')", "df['value'] if True else 1",
+    "df['value'].rolling(3).mean()", "1 + " * 9000 + "1", "df['value'] + 1",
+]
+
+
+def _rejections(s, d):
+    """Which texts the validator turns away; the last is fine."""
+    from quarry.functions.expr import ExpressionError
+
+    def fine(text: str) -> bool:
+        try:
+            compile_expression(text, _COLUMNS)
+            return True
+        except ExpressionError:
+            return False
+
+    return s.createDataFrame([(k, not fine(t)) for k, t in enumerate(_REJECTED)], "place int, rejected boolean")
+
+
+register("expr_reject", "place:i rejected:b", _rejections, f"SELECT i AS place, i < {len(_REJECTED) - 1} AS rejected FROM range({len(_REJECTED)}) AS r(i)")
 _RATIO = "np.where(df['value'] > 20, np.log1p(df['value']) / (np.abs(df['user_id'] - 40) + 1.0), np.sqrt(df['value']) * 0.5)"
 register("expr_eval", "rid:i x:f", lambda s, d: events(s, d).select("rid", compile_expression(_RATIO, _COLUMNS).column().alias("x")), f"WITH {EV} SELECT rid, CASE WHEN value > 20 THEN ln(1 + value) / (abs(user_id - 40) + 1.0) ELSE sqrt(value) * 0.5 END AS x FROM ev")
 _POOL = {"a": "df['value'] / (df['user_id'] - 5)", "b": "df['value'] * 0 + 1", "c": "np.log1p(df['value'])", "d": "df['c'] * 2 - df['user_id']"}
@@ -448,13 +485,13 @@ register("ensemble_avg", "rid:i z:f", lambda s, d: experts.ensemble_average(even
 def _oof(s, d):
     from quarry.operators import models
 
-    return models.out_of_fold(events(s, d), ["value", "user_id"], "y", "rid", folds=3)[0]
+    return models.out_of_fold(events(s, d), ["value", "user_id"], "y", "rid")[0]
 
 
 def _card(s, d):
     from quarry.operators import models
 
-    card = models.probe_card(events(s, d), ["value", "user_id", "q"], "y", "rid", trees=5)
+    card = models.probe_card(events(s, d), ["value", "user_id", "q"], "y", "rid")
     return s.createDataFrame(list(enumerate(card["columns"])), "place int, column string")
 
 
@@ -463,7 +500,7 @@ def _run(s, d):
     from quarry.plans.pipeline import run
 
     df = events(s, d).select(F.col("rid").alias(schema.RID), "t", F.col("user_id").cast("string").alias("user"), "value", F.col("y").alias("target"))
-    cfg = make_config(time_col="t", entity_cols=["user"], max_rounds=1, cycles=1, bootstrap_repeats=30, oof_folds=2, skip=["shadow", "experts"], proposals=[{"name": "logv", "expression": "np.log1p(df['value'])"}])
+    cfg = make_config(time_col="t", entity_cols=["user"], max_rounds=1, cycles=1, proposals=[{"name": "logv", "expression": "np.log1p(df['value'])"}])
     result = run(df, cfg)
     return s.createDataFrame([(k, v["ap"], v["auc"]) for k, v in result.scores.items()], "state string, ap double, auc double")
 

@@ -168,6 +168,6 @@ def inverse_normal(df: DataFrame, columns: list[str], rid: str) -> DataFrame:
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         run = running_totals(counts, "_v", ["_n"])
-        ranks = run.select("_v", ((F.col("cum__n") - F.col("_n") / 2.0) / F.col("total__n")).alias("_p"))
-        df = df.join(ranks, df[c] == F.col("_v"), "left").withColumn(f"{c}_z", quantile("_p")).drop("_v", "_p")
+        ranks = run.select("_v", quantile((F.col("cum__n") - F.col("_n") / 2.0) / F.col("total__n")).alias(f"{c}_z"))  # once a value
+        df = df.join(ranks, df[c] == F.col("_v"), "left").drop("_v")
     return df

@@ -92,6 +92,26 @@ def recency_ladder(df: DataFrame, column: str, y: str, pos: str, n: int, levels:
     return sizes.join(auc, "level", "left").select("level", "n", "positives", F.when(big, F.col("auc")).alias("auc"), F.when(big, direction).alias("direction"))
 
 
+def steady_window(df: DataFrame, columns: list[str], y: str, pos: str, n: int, psi_max: float = 0.25, margin: float = 0.06, levels: int = 4, least_rows: int = 400, least_positives: int = 20) -> dict[str, int | None]:
+    """For each column the longest recent window (level k: the last n // 2**k rows) whose halves have like values (PSI) and the same
+    rank direction; None if none has. Windows of too few rows or positives are passed over."""
+    from quarry.operators.drift import psi
+
+    out: dict[str, int | None] = dict.fromkeys(columns)
+    for k in range(levels):
+        size = n // 2**k
+        window = df.where(recent(F.col(pos), n, k)).withColumn("_late", F.col(pos) >= n - size + size // 2)
+        if size < least_rows or (window.agg(F.sum(y)).first()[0] or 0) < least_positives:
+            continue
+        shifts = {r["column"]: r["psi"] for r in psi(window, columns, "_late").collect()}
+        aucs = {(r["candidate"], r["_late"]): r["auc"] for r in roc_auc(stack_scores(window, y, {c: F.col(c) for c in columns}, ["_late"]), "y", "p", ["_late", "candidate"]).collect()}
+        sign = lambda a: 0 if a is None else (a > 0.5 + margin) - (a < 0.5 - margin)
+        for c in columns:
+            if out[c] is None and shifts[c] <= psi_max and sign(aucs.get((c, False))) == sign(aucs.get((c, True))):
+                out[c] = k
+    return out
+
+
 def blend(core: Column, expert: Column, weight: float, mask: Column | None = None) -> Column:
     """(1 - w) core + w expert inside the mask; the core outside, and where the expert has no score."""
     mixed = (1 - weight) * core + weight * expert

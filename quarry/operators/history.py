@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain, combinations, islice, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,16 +81,17 @@ def query_history(history: DataFrame, queries: DataFrame, specs: Iterable[Histor
     return with_history(both, specs, time, rid, **kw).where("_query").drop("_query")
 
 
+#: How many entities, pairs of them and numbers the library asks about, and its aggregates in order.
+LIBRARY_ENTITIES, LIBRARY_PAIRS, LIBRARY_NUMBERS = 4, 3, 3
+LIBRARY_AGGREGATES = ("count", "repeat", "time_since", "deviation")
+
+
 def history_library(entities: list[str], numbers: list[str], timed: bool = True) -> list[HistorySpec]:
-    """The fixed requests: of at most 4 entities and their first 3 pairs - count, repeat, time_since (if there is a time)
-    and the deviation of the first 3 numbers."""
-    keys = [(e,) for e in entities[:4]]
-    keys += [(a, b) for i, a in enumerate(entities[:4]) for b in entities[i + 1 : 4]][:3]
-    out = []
-    for k in keys:
-        out += [HistorySpec(k, "count"), HistorySpec(k, "repeat")] + ([HistorySpec(k, "time_since")] if timed else [])
-        out += [HistorySpec(k, "deviation", v) for v in numbers[:3]]
-    return out
+    """The fixed requests: every library aggregate of every key, keys being the first entities and their first pairs."""
+    singles = combinations(entities[:LIBRARY_ENTITIES], 1)
+    pairs = islice(combinations(entities[:LIBRARY_ENTITIES], 2), LIBRARY_PAIRS)
+    asked = [(a, v) for a in LIBRARY_AGGREGATES if timed or a != "time_since" for v in ((None,) if a in VALUELESS else numbers[:LIBRARY_NUMBERS])]
+    return [HistorySpec(key, a, v) for key, (a, v) in product(chain(singles, pairs), asked)]
 
 
 def rolling_grid(entity: str, value: str, aggs: Iterable[str], windows: Iterable[int]) -> list[HistorySpec]:

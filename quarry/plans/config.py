@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from copy import deepcopy
 
-#: Every switch of a run. Stages named in "skip" are passed over: screen, shadow, trailing, residual, recursion, gate, experts.
+#: Every switch of a run. Stages named in "skip" are passed over: screen, shadow, trailing, exit, residual, recursion, gate, experts.
 DEFAULTS: dict = {
     "seed": 11, "learner": "logistic", "learner_settings": {}, "split_seed": 42, "block_weights": [3, 1, 1], "oof_folds": 4,
     "label": "target", "time_col": None, "entity_cols": [], "drop": [],
@@ -14,7 +14,7 @@ DEFAULTS: dict = {
     "psi_max": 0.25, "auc_band": 0.15, "max_rounds": 3, "max_empty_rounds": 2, "cycles": 3, "candidate_caps": [128, 96, 64], "dedup": 0.95,
     "entry_alpha": 0.05, "entry_cap": 12, "discovery_rows": 200_000, "residual_folds": 5, "ridge_alpha": 1.0, "trailing_fraction": 0.3,
     "exit_max_drops": 2, "harm_k": 2.0, "bootstrap_repeats": 1000, "expert_min_half_positives": 100, "expert_benefit_k": 1.0, "expert_bootstrap_repeats": 600,
-    "slice_max_columns": 25, "skip": [], "proposals": None, "proposer": None, "templates": None,
+    "expert_min_rows": 800, "expert_min_positives": 40, "slice_max_columns": 25, "skip": [], "proposals": None, "proposer": None, "templates": None,
 }
 ENVIRONMENT = {"QUARRY_LEARNER": ("learner", str), "QUARRY_SEED": ("seed", int), "QUARRY_PROPOSER": ("proposer", str)}
 

@@ -15,6 +15,7 @@ from quarry.functions.expr import with_expressions
 from quarry.operators import admit, drift, encode, experts, gate, history, models, score, split
 from quarry.plans import propose, templates
 from quarry.plans.schema import RID, ColumnPlan, DatasetSpec, classify, cut_lineage, detect_entities, epoch_seconds, is_number, require_valid
+from quarry.plans.search import Blacklist
 from quarry.sources.io import canonical_hash, json_safe, write_report
 
 
@@ -55,7 +56,8 @@ class Run:
 
     def __init__(self, df: DataFrame, cfg: dict):
         df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
-        self.cfg, self.report = cfg, {"stages": []}
+        self.cfg, self.report = cfg, {"stages": [], "scorecard": []}
+        self.blacklist, self.unsteady = Blacklist(), {}  # features rejected for good; first proposals that the drift screen left out
         self.spec = DatasetSpec(cfg["label"], cfg["time_col"], tuple(cfg["entity_cols"]), tuple(cfg["drop"]))
         keep = [c for c in df.columns if c == cfg["label"] or not self.spec.dropped(c)]
         df = require_valid(df.select(*keep), self.spec)
@@ -176,19 +178,16 @@ class Run:
         self.note("enter", cycle=cycle, candidates=len(candidates), entered=entered)
         return {n: pool[n] for n in entered}
 
-    def shadow(self, candidates: dict, state: State) -> dict:
-        """Candidates whose permutation importance beats, on both halves of I, that of every candidate's shadow: a copy with its
-        values dealt to other rows, which the model is fitted with too. Importance is measured on rows the model did not see; V isn't
-        looked at."""
+    def importance(self, features: dict, probes: list[str], copies: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+        """(by..., feature, importance) of the probes, and of a shadow of each of ``copies``, measured on rows of I that the model did not see;
+        the model is fitted with all of them. V isn't looked at."""
         c, y = self.cfg, self.spec.label
-        if "shadow" in c["skip"] or not candidates:
-            return candidates
-        rows = self.with_features({**state.features, **candidates}).where("_part = 'I'")
+        rows = self.with_features(features).where("_part = 'I'")
         order = F.col("_pos") if self.spec.time_col else F.pmod(F.xxhash64(RID), F.lit(self.n_fit))
         rows = rows.withColumn("_half", split.block_of(order, self.n_fit, 2))
-        rows, shadows = admit.with_shadows(rows, list(candidates), RID, c["seed"])
+        rows, shadows = admit.with_shadows(rows, copies, RID, c["seed"]) if copies else (rows, [])
         rows = cut_lineage(split.stratified_folds(rows, y, RID, c["oof_folds"], c["seed"]))
-        columns = [*self.base, *state.features, *candidates, *shadows]
+        columns = [*self.base, *features, *shadows]
         fitted = [models.fit(rows.where(F.col("_fold") != k), columns, y, c["learner"], c["seed"] + k, **c["learner_settings"]) for k in range(c["oof_folds"])]
 
         def unseen(stacked: DataFrame) -> DataFrame:
@@ -198,11 +197,31 @@ class Run:
                 out = out.unionByName(more)
             return out
 
-        pi = admit.permutation_importance(rows, y, [*candidates, *shadows], RID, unseen, c["seed"], ["_half"])
-        kept = {r["feature"] for r in admit.shadow_admit(pi, shadows, "_half").collect()}
+        return admit.permutation_importance(rows, y, [*probes, *shadows], RID, unseen, c["seed"], by)
+
+    def shadow(self, candidates: dict, state: State) -> dict:
+        """Candidates whose permutation importance beats, on both halves of I, that of every candidate's shadow: a copy with its
+        values dealt to other rows."""
+        if "shadow" in self.cfg["skip"] or not candidates:
+            return candidates
+        pi = self.importance({**state.features, **candidates}, list(candidates), list(candidates), ["_half"])
+        kept = {r["feature"] for r in admit.shadow_admit(pi, [f"{n}__shadow" for n in candidates], "_half").collect()}
         self.note("shadow", candidates=len(candidates), kept=sorted(kept))
         return {n: s for n, s in candidates.items() if n in kept}
 
+    def leave(self, features: dict) -> list[str]:
+        """Features of earlier rounds that are of no use any more: of no or negative importance on I, the worst first. They are
+        not taken in again."""
+        c = self.cfg
+        if "exit" in c["skip"] or not features:
+            return []
+        needed = {x for s in features.values() if isinstance(s, str) for x in features if f"df['{x}']" in s}
+        pi = self.importance(features, [n for n in features if n not in needed]) if set(features) - needed else None
+        gone = [r["feature"] for r in admit.exits(pi, c["exit_max_drops"]).collect()] if pi is not None else []
+        self.blacklist.add(c["learner"], gone)
+        self.note("exit", removed=gone)
+        return gone
+
     def passes(self, old: State, new: State, blocks: list[str]) -> bool:
         if "gate" in self.cfg["skip"]:
             return True
@@ -235,7 +254,9 @@ class Run:
         routes, budget, empty = self.route(), gate.BlockBudget(), 0
         if routes["round0"]:
             valid, reasons = propose.audit(self.surface, self.proposals(), self.spec.label, cap=c["max_initial_candidates"])
-            good = self.shadow(self.stable(valid, self.states[-1]), self.states[-1])
+            steady = self.stable(valid, self.states[-1])
+            self.unsteady = {n: f for n, f in valid.items() if n not in steady}
+            good = self.shadow(steady, self.states[-1])
             self.note("round0", proposed=len(reasons), valid=len(valid), kept=list(good))
             if good:
                 new = self.fit_state("round0", good)
@@ -245,13 +266,18 @@ class Run:
             if not routes["rounds"] or not budget.left or empty >= c["max_empty_rounds"]:
                 break
             base, admitted, pool = self.states[-1], {}, {}
+            if gone := self.leave(base.features):
+                base = self.fit_state(base.name, {n: f for n, f in base.features.items() if n not in gone})
             for cycle in range(1, (1 if "recursion" in c["skip"] else c["cycles"]) + 1):
                 rule = templates.contract(cycle, self.raw, admitted)
-                grown = templates.interleave([templates.expand(t, rule, self.raw, self.entities, bool(self.spec.time_col), frozenset({self.spec.label})) for t in c["templates"] or self.default_templates()], c["candidate_caps"][cycle - 1])
-                grown = {n: s for n, s in grown.items() if n not in pool and n not in base.features}
+                grown_by = [templates.expand(t, rule, self.raw, self.entities, bool(self.spec.time_col), frozenset({self.spec.label})) for t in c["templates"] or self.default_templates()]
+                template_of = {n: e.template for e in grown_by for n in e.candidates}
+                grown = templates.interleave(grown_by, c["candidate_caps"][cycle - 1])
+                grown = {n: grown[n] for n in self.blacklist.allowed(c["learner"], grown) if n not in pool and n not in base.features}
                 state = State(base.name, {**base.features, **pool}, base.oof, base.valid)
                 entered = self.enter(self.stable(grown, state), state, cycle)
                 admitted[cycle] = list(entered)
+                self.report["scorecard"] += [{"round": k, "cycle": cycle, **row} for row in templates.scorecard(template_of, list(grown), list(entered), list(entered))]
                 pool |= entered
                 if not entered:
                     break
@@ -284,31 +310,47 @@ class Run:
         self.report["sha256"] = canonical_hash({k: str(v) for k, v in core.features.items()})
         return Result(scores, core.features, self.report, out)
 
-    def experts(self, core: State, test: DataFrame) -> dict[str, DataFrame]:
-        """The core blended with an expert for the slice where it errs most, if both halves of V gain from it."""
+    def expert_offers(self, core: State) -> list[tuple]:
+        """(name, slice rule or None, rows of I to fit on, columns, features): for the slices where the core errs most, and for recent windows in which
+        first proposals that the drift screen left out are steady (one expert a window)."""
         c, y = self.cfg, self.spec.label
-        if "experts" in c["skip"]:
-            return {}
         df = self.with_features(core.features)
         columns = [*self.base, *core.features]
         fit = df.where("_part = 'I'").join(core.oof.withColumnRenamed("p", "_p"), RID)
         fit = cut_lineage(score.residual(fit, y, "_p", "_r"))
         rules = experts.slice_rules(fit, columns[: c["slice_max_columns"]], RID)
-        chosen = experts.choose_slices(experts.slice_lift(fit, rules, y, "_r"), rules)
-        for rule in chosen:
-            inside = fit.where(rule.mask())
-            if inside.count() < 800 or (inside.agg(F.sum(y)).first()[0] or 0) < 40:
+        out = [(rule.name, rule, fit.where(rule.mask()), columns, core.features) for rule in experts.choose_slices(experts.slice_lift(fit, rules, y, "_r"), rules)]
+        loose = {n: f for n, f in self.unsteady.items() if n not in core.features}
+        if self.spec.time_col and loose:
+            rows = cut_lineage(self.with_features({**core.features, **loose}).where("_part in ('I', 'V')"))
+            levels, n = experts.steady_window(rows, list(loose), y, "_pos", self.n_fit + self.n_valid, c["psi_max"]), self.n_fit + self.n_valid
+            for k in sorted({v for v in levels.values() if v}):  # level 0 is the whole: no window
+                extras = [m for m in loose if levels[m] == k]
+                out.append((f"recency_w{2**k}", None, rows.where((F.col("_part") == "I") & (F.col("_pos") >= n - n // 2**k)), [*columns, *extras], {**core.features, **{m: loose[m] for m in extras}}))
+        return out
+
+    def experts(self, core: State, test: DataFrame) -> dict[str, DataFrame]:
+        """The core blended with the first expert that both halves of V gain from."""
+        c, y = self.cfg, self.spec.label
+        if "experts" in c["skip"]:
+            return {}
+        for name, rule, inside, columns, features in self.expert_offers(core):
+            rows, positives = inside.agg(F.count(F.lit(1)), F.sum(y)).first()
+            if rows < c["expert_min_rows"] or (positives or 0) < c["expert_min_positives"]:
+                self.note("expert", rule=name, rows=rows, positives=positives, taken=False)
                 continue
+            df, mask = self.with_features(features), rule.mask() if rule else None
             model = models.fit(inside, columns, y, c["learner"], c["seed"], **c["learner_settings"])
             v = model.predict(df.where("_part = 'V'"), "_e").join(core.valid, RID).withColumn("_b", split.block_of(F.pmod(F.col("_pos"), F.lit(self.n_valid)), self.n_valid, 5))
             v = cut_lineage(v)
-            w = experts.best_weight(experts.blend_grid(v, y, "p", "_e", "_b", rule.mask()))
-            mixed = v.withColumn("_new", experts.blend(F.col("p"), F.col("_e"), w, rule.mask())).withColumn("_half", F.col("_b") >= 3)
+            w = experts.best_weight(experts.blend_grid(v, y, "p", "_e", "_b", mask))
+            mixed = v.withColumn("_new", experts.blend(F.col("p"), F.col("_e"), w, mask)).withColumn("_half", F.col("_b") >= 3)
             gains = gate.bootstrap_gain(mixed.select(RID, y, "p", "_new", "_half"), y, "p", "_new", RID, ["_half"], c["expert_bootstrap_repeats"])
-            if w > 0 and gate.beneficial(gains, c["expert_benefit_k"]):
-                self.note("expert", rule=rule.name, weight=w)
+            taken = w > 0 and gate.beneficial(gains, c["expert_benefit_k"])
+            self.note("expert", rule=name, weight=w, taken=taken)
+            if taken:
                 t = model.predict(df.where("_part = 'T'"), "_e").join(test, RID)
-                return {"experts": t.select(RID, experts.blend(F.col("p"), F.col("_e"), w, rule.mask()).alias("p"))}
+                return {"experts": t.select(RID, experts.blend(F.col("p"), F.col("_e"), w, mask).alias("p"))}
         return {"experts": test}
 
 

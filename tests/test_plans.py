@@ -101,7 +101,7 @@ def test_readers_and_writers(spark, tmp_path):
 def test_run_on_the_demo(spark):
     from quarry.plans.pipeline import run
 
-    cfg = make_config(time_col="event_time", entity_cols=["customer"], max_rounds=1, cycles=1, bootstrap_repeats=20, oof_folds=2, skip=["shadow"], expert_bootstrap_repeats=20)
+    cfg = make_config(time_col="event_time", entity_cols=["customer"], max_rounds=1, cycles=1, oof_folds=2, max_initial_candidates=4)
     result = run(io.demo(spark, 3000), cfg)
     assert set(result.scores) == {"baseline", "core", "experts"} and result.scores["baseline"]["auc"] > 0.6
     assert result.scores["core"]["ap"] >= result.scores["baseline"]["ap"] - 0.05
@@ -121,3 +121,37 @@ def test_label_flip_leaves_the_surface(spark):
         r.encode()
         seen.append(sorted(tuple(x) for x in r.surface.where("_part <> 'I'").select("_rid", *r.base).collect()))
     assert seen[0] == seen[1]
+
+
+def test_shadow_admission_reads_no_label_of_v(spark):
+    from quarry.plans.pipeline import Run, State
+
+    df = io.demo(spark, 1500).withColumn("_rid", F.col("event_time").cast("long"))
+    cfg = make_config(time_col="event_time", entity_cols=["customer"], oof_folds=2)
+    seen = []
+    for flip in (False, True):
+        r = Run(df, cfg)
+        r.partition()
+        if flip:
+            r.rows = r.rows.withColumn("target", F.when(F.col("_part") == "V", 1 - F.col("target")).otherwise(F.col("target")))
+        r.encode()
+        offered = {"strong": f"df['{r.raw[0]}'] * 1.0 + df['{r.raw[1]}']", "weak": f"df['{r.raw[0]}'] * 0 + df['event_time'] % 7"} if "event_time" in r.surface.columns else {"strong": f"df['{r.raw[0]}'] * 1.0"}
+        seen.append(sorted(r.shadow(offered, State("baseline", {}, None, None))))
+        assert {x["stage"] for x in r.report["stages"]} >= {"shadow"}
+    assert seen[0] == seen[1]
+
+
+def test_steady_window_is_the_longest_without_a_shift(spark):
+    from quarry.operators import experts
+
+    rows = [(i, float(i % 97) + (500.0 if i < 2000 else 0.0), float(i % 89), int(i % 10 == 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "_pos long, moved double, calm double, y int")
+    assert experts.steady_window(df, ["moved", "calm"], "y", "_pos", 4000) == {"moved": 1, "calm": 0}
+
+
+def test_forms_without_braces_and_dictionaries_in_forms():
+    rule = templates.contract(1, RAW, {})
+    bare = templates.expand(Template("b", "pointwise", "A - B * 2", {"A": (RAW[0],), "B": (RAW[1],)}), rule, RAW, [])
+    assert list(bare.candidates.values()) == [f"df['{RAW[0]}'] - df['{RAW[1]}'] * 2"]
+    kept = templates.expand(Template("k", "pointwise", "{A}.replace({3: 30})", {"A": (RAW[0],)}), rule, RAW, [])
+    assert list(kept.candidates.values()) == [f"df['{RAW[0]}'].replace({{3: 30}})"]
