@@ -71,6 +71,7 @@ class LicenseIndex:
             for w, n in c.items():
                 self.units[t, self.code[w]] = n * self.idf[self.code[w]]
         self.units /= np.maximum(np.linalg.norm(self.units, axis=1, keepdims=True), 1e-12)
+        self.squares = self.units**2
 
     def cosine(self, words: list[str], t: int) -> float:
         """Of a stretch and a template, in full."""
@@ -82,16 +83,17 @@ class LicenseIndex:
             dot += 0.0 if k is None else weight * self.units[t, k]
         return dot / math.sqrt(norm) if norm else 0.0
 
-    def bounds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(template, start, end, bound) of the stretches whose cosine may reach ``least``: their words count as all different in the
+    def bounds(self, codes: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(template, start, end, bound) of the stretches whose cosine to one of the templates may reach ``least``: their words count as all different in the
         norm, which is the least it can be."""
         n, starts = len(codes), np.flatnonzero(codes >= 0)
         known = np.maximum(codes, 0)
         own = np.r_[0.0, np.cumsum(np.where(codes >= 0, self.idf[known] ** 2, 0.0))]
         others = np.r_[0, np.cumsum(codes < 0)]
         last = np.maximum.accumulate(np.where(codes >= 0, np.arange(n), -1))
-        out = []
-        for t, size in enumerate(self.sizes.tolist()):
+        out = [(np.empty(0, np.int64),) * 3 + (np.empty(0),)]
+        for t in within.tolist():
+            size = int(self.sizes[t])
             ends = last[np.minimum(starts + size, n) - 1] + 1
             dot = np.r_[0.0, np.cumsum(np.where(codes >= 0, self.units[t, known] * self.idf[known], 0.0))]
             bound = (dot[ends] - dot[starts]) / np.sqrt(own[ends] - own[starts] + (others[ends] - others[starts]) * self.rare**2)
@@ -103,9 +105,13 @@ class LicenseIndex:
         """(license, similarity, line of its first word) of the best stretch; ties to the first stretch, then template."""
         words = terms(text)
         codes = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
-        if not (codes >= 0).any():
+        present = np.zeros(len(self.code))
+        present[codes[codes >= 0]] = 1.0
+        # no stretch comes nearer to a template than the length of the template's part that the whole text has words of
+        within = np.flatnonzero(self.squares @ present >= self.least**2 - 1e-9)
+        if not len(within):
             return None, 0.0, None
-        which, starts, ends, bound = self.bounds(codes)
+        which, starts, ends, bound = self.bounds(codes, within)
         top: tuple[float, int, int] | None = None
         for k in np.argsort(-bound, kind="stable").tolist():
             if top and bound[k] < -top[0] - 1e-9:
