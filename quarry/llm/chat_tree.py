@@ -52,29 +52,34 @@ def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     parents = nodes.where("parent is not null").select("tree", F.col("node").alias("_node"), "parent")
     known = parents.join(ids.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", F.col("_node").alias("node"), F.col("parent").alias("above"))
     told = nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps")).join(known, ["tree", "node"], "left")
-    told, tables = materialize(told, "climb"), []
-    leaves = ids.join(told.where("above is not null").select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    levels = [materialize(told.select("tree", "node", "above", "total", "steps"), "climb")]
+    leaves = ids.join(levels[0].where("above is not null").select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
     most, reach = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
-    while not told.where("above is not null").isEmpty():
+
+    def at_root() -> DataFrame:
+        out = levels[0].where("above is null")
+        for level in levels[1:]:
+            out = out.unionByName(level.where("above is null"))
+        return out
+
+    while not (going := levels[-1].where("above is not null")).isEmpty():
         if reach > most:  # only circles go on
-            if not told.where("above is not null").join(leaves, ["tree", "node"], "left_semi").isEmpty():
+            if not going.join(leaves, ["tree", "node"], "left_semi").isEmpty():
                 raise ValueError("a reply tree has a circle above a leaf")
             break
-        tables.append(told)
-        up = told.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        told = told.join(up, ["tree", "above"], "left").select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"))
-        told = materialize(told, "climb")
+        up = at_root().unionByName(going).select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        further = going.join(up, ["tree", "above"])  # only nodes that have not reached their root go on
+        levels.append(materialize(further.select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps")), "climb"))
         reach *= 2
-    ranks = materialize(told.join(leaves, ["tree", "node"], "left_semi").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("mean"), (F.col("steps") - 1).alias("depth")), "leaves")
-    discard(told)
-    return [*tables], ranks
+    ranks = at_root().join(leaves, ["tree", "node"], "left_semi")
+    return levels, materialize(ranks.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("mean"), (F.col("steps") - 1).alias("depth")), "leaves")
 
 
 def members(tables: list[DataFrame], leaves: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): the members of the paths from those leaves to their roots, up steps above the leaf. Each join
     doubles the reach of all paths at once."""
     paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
-    for k, table in enumerate(tables):
+    for k, table in enumerate(tables[:-1]):  # of the last, all have reached their root
         further = paths.join(table.where("above is not null").select("tree", "node", "above"), ["tree", "node"])
         paths = materialize(paths.unionByName(further.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))), "paths")
     return paths
