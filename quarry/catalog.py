@@ -336,15 +336,15 @@ _GRID = history.rolling_grid("cust", "price", ("mean", "std", "last"), (5, 10, 2
 _GRID_NAMES = [f"{s.agg}_{s.window}" for s in _GRID]
 register("roll_grid", "rid:i " + " ".join(f"{n}:g" for n in _GRID_NAMES), _history(*_GRID, names=_GRID_NAMES), f"WITH {OD}, {_PAIRS}, " + ", ".join(f"g{w} AS (SELECT rid, avg(bv) AS m, stddev_pop(bv) AS sd, arg_min(bv, k) AS lv FROM pr WHERE k <= {w} GROUP BY rid)" for w in (5, 10, 20)) + " SELECT od.rid, " + ", ".join(f"coalesce(g{w}.{c}, 0) AS {a}_{w}" for a, c in (("mean", "m"), ("std", "sd"), ("last", "lv")) for w in (5, 10, 20)) + " FROM od " + " ".join(f"LEFT JOIN g{w} USING (rid)" for w in (5, 10, 20)))
 _ROWS = "SELECT a.rid, b.rid AS brid, b.t AS bt, b.price AS bv, b.prio AS bprio, row_number() OVER (PARTITION BY a.rid ORDER BY b.t DESC, b.rid DESC) AS k FROM od a JOIN od b ON a.cust = b.cust AND (b.t < a.t OR b.t = a.t AND b.rid < a.rid)"
-register("bank_prior_count", "rid:i z:i", lambda s, d: orders(s, d).withColumn("z", history.prior_count(["cust"], "t", "rid")), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, count(r.brid) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
-register("bank_gap", "rid:i z:f", lambda s, d: orders(s, d).withColumn("z", history.gap(["cust"], "t", "rid")), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, od.t - r.bt AS z FROM od LEFT JOIN r ON r.rid = od.rid AND k = 1")
-register("bank_mean_ratio", "rid:i z:f", lambda s, d: orders(s, d).withColumn("z", history.mean_ratio(["cust"], "price", "t", "rid")), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, any_value(od.price) / (abs(avg(r.bv)) + 1) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
-register("pair_prior", "rid:i z:i", lambda s, d: orders(s, d).withColumn("z", history.prior_count(["cust", "prio"], "t", "rid")), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, count(r.brid) FILTER (r.bprio = od.prio) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
-register("pair_gap", "rid:i z:f", lambda s, d: orders(s, d).withColumn("z", history.gap(["cust", "prio"], "t", "rid")), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, any_value(od.t) - max(r.bt) FILTER (r.bprio = od.prio) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
+register("bank_prior_count", "rid:i z:i", lambda s, d: history.prior_count(orders(s, d), ["cust"], "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, count(r.brid) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
+register("bank_gap", "rid:i z:f", lambda s, d: history.gap(orders(s, d), ["cust"], "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, od.t - r.bt AS z FROM od LEFT JOIN r ON r.rid = od.rid AND k = 1")
+register("bank_mean_ratio", "rid:i z:f", lambda s, d: history.mean_ratio(orders(s, d), ["cust"], "price", "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, any_value(od.price) / (abs(avg(r.bv)) + 1) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
+register("pair_prior", "rid:i z:i", lambda s, d: history.prior_count(orders(s, d), ["cust", "prio"], "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, count(r.brid) FILTER (r.bprio = od.prio) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
+register("pair_gap", "rid:i z:f", lambda s, d: history.gap(orders(s, d), ["cust", "prio"], "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, any_value(od.t) - max(r.bt) FILTER (r.bprio = od.prio) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
 register("prior_nunique", "rid:i z:i", lambda s, d: history.prior_distinct(orders(s, d), "cust", "prio", "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, count(DISTINCT r.bprio) AS z FROM od LEFT JOIN r USING (rid) GROUP BY 1")
-register("agg_rolling", "rid:i a:g b:g c:g", lambda s, d: orders(s, d).withColumns({n: history.rolling("cust", "price", h, 4, "t", "rid") for n, h in zip("abc", ("mean", "max", "std"), strict=True)}), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, avg(bv) AS a, max(bv) AS b, stddev_samp(bv) AS c FROM od LEFT JOIN r ON r.rid = od.rid AND k <= 4 GROUP BY 1")
-register("agg_lag", "rid:i z:f", lambda s, d: orders(s, d).withColumn("z", history.lagged("cust", "price", 2, "t", "rid")), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, r.bv AS z FROM od LEFT JOIN r ON r.rid = od.rid AND k = 2")
-register("agg_expanding", "rid:i a:g b:g", lambda s, d: orders(s, d).withColumns({n: history.expanding("cust", "price", h, "t", "rid") for n, h in zip("ab", ("mean", "min"), strict=True)}), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, avg(bv) AS a, min(bv) AS b FROM od LEFT JOIN r USING (rid) GROUP BY 1")
+register("agg_rolling", "rid:i a:g b:g c:g", lambda s, d: history.rolling(orders(s, d), "cust", "price", 4, "t", "rid", {"a": "mean", "b": "max", "c": "std"}), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, avg(bv) AS a, max(bv) AS b, stddev_samp(bv) AS c FROM od LEFT JOIN r ON r.rid = od.rid AND k <= 4 GROUP BY 1")
+register("agg_lag", "rid:i z:f", lambda s, d: history.lagged(orders(s, d), ["cust"], "price", 2, "t", "rid", "z"), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, r.bv AS z FROM od LEFT JOIN r ON r.rid = od.rid AND k = 2")
+register("agg_expanding", "rid:i a:g b:g", lambda s, d: history.expanding(orders(s, d), "cust", "price", "t", "rid", {"a": "mean", "b": "min"}), f"WITH {OD}, r AS ({_ROWS}) SELECT od.rid, avg(bv) AS a, min(bv) AS b FROM od LEFT JOIN r USING (rid) GROUP BY 1")
 register("agg_group", "rid:i z:f", lambda s, d: (lambda i, v: history.group_statistic(i, v, "user_id", "value", "std", "z"))(*iv(s, d)), f"WITH {EP}, {_IV} SELECT v.rid, g.z FROM v LEFT JOIN (SELECT user_id, stddev_samp(value) AS z FROM i GROUP BY 1) g USING (user_id)")
 register("agg_periodic", "rid:i tod_sin:f tod_cos:f dow:i", lambda s, d: orders(s, d).withColumns(encode.calendar(F.col("t"))), f"WITH {OD} SELECT rid, sin(t / 86400 * 2 * pi()) AS tod_sin, cos((t % 86400) / 86400 * 2 * pi()) AS tod_cos, isodow(to_timestamp(t) AT TIME ZONE 'UTC') - 1 AS dow FROM od")
 

@@ -1,4 +1,4 @@
-"""Causal entity history: what an entity's strictly earlier events say, by window functions.
+"""Causal entity history: what an entity's strictly earlier events say, by window functions (operators/past.py).
 
 Rows of one entity are ordered by (time, row id). Events of the same time never see each other: an aggregate over the
 rows before, taken at the head of its group of equal times, holds exactly the strictly earlier events, and the
@@ -11,9 +11,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain, combinations, islice, product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.past import MOST_ROWS, Past, with_past
+
 AGGREGATES = ("count", "repeat", "sum", "mean", "std", "last", "deviation", "time_since")
 VALUELESS = frozenset({"count", "repeat", "time_since"})
 
@@ -40,39 +42,40 @@ class HistorySpec:
         return "_".join(["hist", "x".join(self.entity), self.agg, *([self.value] if self.value else []), f"w{self.window}", f"s{self.shift}"])
 
 
-def history_column(spec: HistorySpec, time: str, rid: str) -> Column:
-    past = Window.partitionBy(*spec.entity).orderBy(time, rid).rowsBetween(-(spec.window + spec.shift - 1) if spec.window else Window.unboundedPreceding, -spec.shift)
-    tied = Window.partitionBy(*spec.entity, time).orderBy(rid).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: What a request asks of the earlier events, and what it makes of that: its answer without any, and the rest by value and time.
+_ASKS = {"count": "count", "repeat": "count", "sum": "sum", "mean": "mean", "std": "std", "last": "last", "deviation": "mean", "time_since": "last"}
 
-    def seen(agg: Column) -> Column:
-        return F.first(agg.over(past)).over(tied)
 
-    v = F.coalesce(F.col(spec.value).cast("double"), F.lit(0.0)) if spec.value else F.lit(0.0)
-    n = seen(F.count(F.lit(1)))
-    if spec.agg == "count":
-        return n.cast("double")
-    if spec.agg == "repeat":
-        return (n > 0).cast("double")
-    if spec.agg == "time_since":
-        return F.when(n > 0, F.col(time) - seen(F.last(time))).otherwise(-1.0)
-    if spec.agg == "deviation":
-        return F.when(n > 0, v - seen(F.avg(v))).otherwise(0.0)
-    of = {"sum": F.sum, "mean": F.avg, "std": F.stddev_pop, "last": F.last}[spec.agg](v)
-    return F.when(n > 0, seen(of)).otherwise(0.0)
+def _answer(spec: HistorySpec, got: Column, value: Column, time: Column) -> Column:
+    if _ASKS[spec.agg] == "count":
+        return got.cast("double") if spec.agg == "count" else (got > 0).cast("double")
+    told = {"deviation": value - got, "time_since": time - got}.get(spec.agg, got)
+    return F.coalesce(told, F.lit(-1.0 if spec.agg == "time_since" else 0.0))
 
 
-def with_history(df: DataFrame, specs: Iterable[HistorySpec], time: str, rid: str, forbidden: Iterable[str] = (), names: dict[HistorySpec, str] | None = None) -> DataFrame:
-    """df with a column a spec (named spec.name, or as names says). The label and the time cannot be values."""
+def with_history(df: DataFrame, specs: Iterable[HistorySpec], time: str, rid: str, forbidden: Iterable[str] = (), names: dict[HistorySpec, str] | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+    """df with a column a spec (named spec.name, or as names says). The label and the time cannot be values. Entities of more than
+    most_rows events are taken in stretches of time (with_past)."""
     specs = list(specs)
     for s in specs:
         if s.value == time or s.value in set(forbidden):
             raise ValueError(f"{s.value} cannot be a history value")
-    by_entity: dict[tuple[str, ...], dict[str, Column]] = {}
+    values = {v: f"_v{i}" for i, v in enumerate(sorted({s.value for s in specs if s.value}))}
+    by_entity: dict[tuple[str, ...], list[HistorySpec]] = {}
     for s in specs:
-        by_entity.setdefault(s.entity, {})[(names or {}).get(s, s.name)] = history_column(s, time, rid)
-    for columns in by_entity.values():  # one shuffle and sort an entity, whatever the number of its requests
-        df = df.withColumns(columns)
-    return df
+        by_entity.setdefault(s.entity, []).append(s)
+    df = df.withColumns({tmp: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v, tmp in values.items()}) if values else df
+    for entity, own in by_entity.items():  # one shuffle and sort an entity, whatever the number of its requests
+        asked: dict[Past, str] = {}
+        answers = {}
+        for s in own:
+            agg = _ASKS[s.agg]
+            past = Past(agg, None if agg == "count" else values[s.value] if s.value else time, s.window, s.shift)
+            got = F.col(asked.setdefault(past, f"_p{len(asked)}"))
+            answers[(names or {}).get(s, s.name)] = _answer(s, got, F.col(values[s.value]) if s.value else F.lit(0.0), F.col(time))
+        df = with_past(df, list(entity), {n: p for p, n in asked.items()}, time, rid, ties=True, most_rows=most_rows)
+        df = df.withColumns(answers).drop(*asked.values())
+    return df.drop(*values.values())
 
 
 def query_history(history: DataFrame, queries: DataFrame, specs: Iterable[HistorySpec], time: str, rid: str, **kw) -> DataFrame:
@@ -101,50 +104,42 @@ def rolling_grid(entity: str, value: str, aggs: Iterable[str], windows: Iterable
 # ------------------------------------------------------------------ the bank: row order, so ties do see earlier rows
 
 
-def _before(keys: list[str], time: str, rid: str):
-    return Window.partitionBy(*keys).orderBy(time, rid).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _order(keys: list[str], time: str, rid: str):
-    return Window.partitionBy(*keys).orderBy(time, rid)
+def prior_count(df: DataFrame, keys: list[str], time: str, rid: str, name: str, **kw) -> DataFrame:
+    return with_past(df, keys, {name: Past("count")}, time, rid, **kw)
 
 
-def prior_count(keys: list[str], time: str, rid: str) -> Column:
-    return (F.row_number().over(_order(keys, time, rid)) - 1).cast("long")
-
-
-def gap(keys: list[str], time: str, rid: str) -> Column:
+def gap(df: DataFrame, keys: list[str], time: str, rid: str, name: str, **kw) -> DataFrame:
     """Seconds since the row before; null at the first."""
-    return F.col(time) - F.lag(time).over(_order(keys, time, rid))
+    return lagged(df, keys, time, 1, time, rid, name, **kw).withColumn(name, F.col(time) - F.col(name))
 
 
-def mean_ratio(keys: list[str], value: str, time: str, rid: str) -> Column:
+def mean_ratio(df: DataFrame, keys: list[str], value: str, time: str, rid: str, name: str, **kw) -> DataFrame:
     """value / (|mean of earlier values| + 1) over values that aren't null; null without any."""
-    return F.col(value) / (F.abs(F.avg(value).over(_before(keys, time, rid))) + 1)
+    return with_past(df, keys, {name: Past("mean", value)}, time, rid, **kw).withColumn(name, F.col(value) / (F.abs(F.col(name)) + 1))
 
 
-def prior_distinct(df: DataFrame, entity: str, other: str, time: str, rid: str, name: str) -> DataFrame:
+def prior_distinct(df: DataFrame, entity: str, other: str, time: str, rid: str, name: str, **kw) -> DataFrame:
     """How many different values of ``other`` the entity had in its rows before."""
-    fresh = (F.row_number().over(_order([entity, other], time, rid)) == 1).cast("long")
-    marked = df.withColumn("_fresh", fresh)
-    return marked.withColumn(name, F.coalesce(F.sum("_fresh").over(_before([entity], time, rid)), F.lit(0))).drop("_fresh")
+    marked = prior_count(df, [entity, other], time, rid, "_fresh", **kw).withColumn("_fresh", (F.col("_fresh") == 0).cast("long"))
+    return with_past(marked, [entity], {name: Past("sum", "_fresh")}, time, rid, **kw).withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long")).drop("_fresh")
 
 
 # ------------------------------------------------------------------ template aggregates
 
+_SAMPLE = {"mean": "mean", "sum": "sum", "max": "max", "min": "min", "std": "std_samp"}
+
 
-def rolling(entity: str, value: str, how: str, window: int, time: str, rid: str, shift: int = 1) -> Column:
-    """mean, sum, max, min or std (sample) of the value over the ``window`` rows that end ``shift`` rows before; null if none."""
-    w = Window.partitionBy(entity).orderBy(time, rid).rowsBetween(-(window + shift - 1), -shift)
-    return {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp}[how](value).over(w)
+def rolling(df: DataFrame, entity: str, value: str, window: int, time: str, rid: str, names: dict[str, str], shift: int = 1, **kw) -> DataFrame:
+    """A column for each of names {name: mean, sum, max, min or std (sample)}: over the ``window`` rows that end ``shift`` rows before; null if none."""
+    return with_past(df, [entity], {n: Past(_SAMPLE[how], value, window, shift) for n, how in names.items()}, time, rid, **kw)
 
 
-def lagged(entity: str, value: str, shift: int, time: str, rid: str) -> Column:
-    return F.lag(value, shift).over(_order([entity], time, rid))
+def lagged(df: DataFrame, keys: list[str], value: str, shift: int, time: str, rid: str, name: str, **kw) -> DataFrame:
+    return with_past(df, keys, {name: Past("last", value, 1, shift)}, time, rid, **kw)
 
 
-def expanding(entity: str, value: str, how: str, time: str, rid: str) -> Column:
-    return {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp}[how](value).over(_before([entity], time, rid))
+def expanding(df: DataFrame, entity: str, value: str, time: str, rid: str, names: dict[str, str], **kw) -> DataFrame:
+    return rolling(df, entity, value, 0, time, rid, names, **kw)
 
 
 def group_statistic(fit: DataFrame, apply: DataFrame, entity: str, value: str, how: str, name: str) -> DataFrame:
