@@ -3,43 +3,30 @@ one pass over an unpivoted table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.schema import finite, running_totals
+from quarry.plans.schema import finite, quantiles_by, running_totals, unpivot
 
-#: Quantiles are exact by default; an exact one holds the different values of a column in one task. accuracy (as of percentile_approx, e.g.
-#: 10000) asks for sketches instead, for columns beyond a task's memory.
+#: Quantiles are exact by default, from counts of values summed in ranges; accuracy (as of percentile_approx, e.g. 10000) asks for sketches.
 DECILES = tuple(k / 10 for k in range(11))
 FLOOR, LEAST = 1e-4, 50
 
 
-def unpivot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., column, x): numbers only; missing values are left out."""
-    each = F.array(*[F.struct(F.lit(c).alias("column"), finite(F.col(c)).alias("x")) for c in columns])
-    return df.select(*keep, F.explode(each).alias("v")).select(*keep, "v.column", "v.x").where("x is not null")
-
-
-def quantiles(x: str, shares: Iterable[float], accuracy: int | None = None) -> Column:
-    """An array of quantiles: by linear interpolation, or by a sketch."""
-    return F.percentile(x, F.array(*[F.lit(s) for s in shares])) if accuracy is None else F.percentile_approx(x, list(shares), accuracy)
-
-
 def quantile_edges(df: DataFrame, columns: list[str], shares: tuple[float, ...] = DECILES, where: Column | None = None, accuracy: int | None = None) -> DataFrame:
     """(column, edges)"""
     rows = unpivot(df if where is None else df.where(where), columns, [])
-    return rows.groupBy("column").agg(quantiles("x", shares, accuracy).alias("edges"))
+    return quantiles_by(rows, "x", shares, ["column"], accuracy)
 
 
 def decile_histogram(df: DataFrame, columns: list[str], late: str, accuracy: int | None = None) -> DataFrame:
     """(column, bin, early, late): counts in the early part's deciles. Equal edges are one; the outer ones are open; a value on
     an edge belongs above it."""
     rows = unpivot(df, columns, [late])
-    edges = rows.where(~F.col(late)).groupBy("column").agg(F.array_distinct(quantiles("x", DECILES, accuracy)).alias("edges"))
+    edges = quantiles_by(rows.where(~F.col(late)), "x", DECILES, ["column"], accuracy).withColumn("edges", F.array_distinct("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = rows.join(F.broadcast(edges), "column").withColumn("bin", F.aggregate(inner, F.lit(0), lambda a, e: a + (F.col("x") >= e).cast("int")))  # edges: a row a column
     counts = binned.groupBy("column", "bin", "edges").agg(F.count_if(~F.col(late)).alias("early"), F.count_if(F.col(late)).alias("late"))
@@ -133,7 +120,7 @@ def stump_gain(df: DataFrame, columns: list[str], target: str, bins: int = 64, a
     """(column, gain): the largest share of the target's variance that one split at a quantile edge explains."""
     rows = unpivot(df, columns, [target])
     shares = [k / bins for k in range(1, bins)]
-    edges = rows.groupBy("column").agg(F.array_distinct(quantiles("x", shares, accuracy)).alias("edges"))
+    edges = quantiles_by(rows, "x", shares, ["column"], accuracy).withColumn("edges", F.array_distinct("edges"))
     binned = rows.join(F.broadcast(edges), "column").withColumn("bin", F.aggregate("edges", F.lit(0), lambda a, e: a + (F.col("x") >= e).cast("int")))  # a row a column
     sums = binned.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("q"))
     below, every = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("column")
@@ -146,15 +133,18 @@ def stump_gain(df: DataFrame, columns: list[str], target: str, bins: int = 64, a
 
 def class_gap(df: DataFrame, columns: list[str], first: Column, second: Column, top: int = 5) -> DataFrame:
     """(column, gap): the ``top`` columns by |median of first rows - median of second rows| over the interquartile range."""
-    rows = unpivot(df.withColumns({"_a": first, "_b": second}), columns, ["_a", "_b"])
-    got = rows.groupBy("column").agg(F.median(F.when(F.col("_a"), F.col("x"))).alias("ma"), F.median(F.when(F.col("_b"), F.col("x"))).alias("mb"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    gap = F.try_divide(F.col("ma") - F.col("mb"), F.col("q")[1] - F.col("q")[0])
-    return got.select("column", gap.alias("gap")).where("gap is not null").orderBy(F.desc(F.abs(F.col("gap"))), "column").limit(top)
+    each = unpivot(df.withColumns({"_a": first, "_b": second}), columns, ["_a", "_b"])
+    kinds = F.array_compact(F.array(F.lit("all"), F.when(F.col("_a"), "first"), F.when(F.col("_b"), "second")))
+    found = quantiles_by(each.select("column", "x", F.explode(kinds).alias("kind")), "x", [0.25, 0.5, 0.75], ["column", "kind"])
+    of = lambda kind, k: F.max(F.when(F.col("kind") == kind, F.col("edges")[k]))
+    gap = F.try_divide(of("first", 1) - of("second", 1), of("all", 2) - of("all", 0))
+    return found.groupBy("column").agg(gap.alias("gap")).where("gap is not null").orderBy(F.desc(F.abs(F.col("gap"))), "column").limit(top)
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with missing numbers of the columns replaced by the median of the others; 0 if there is none."""
-    med = df.agg(*[F.median(finite(F.col(c))).alias(f"_m{i}") for i, c in enumerate(columns)])
+    middle = quantiles_by(unpivot(df, columns, []), "x", [0.5], ["column"])
+    med = middle.agg(*[F.max(F.when(F.col("column") == c, F.col("edges")[0])).alias(f"_m{i}") for i, c in enumerate(columns)])
     return df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(finite(F.col(c)), F.col(f"_m{i}"), F.lit(0.0)) for i, c in enumerate(columns)}).drop(*[f"_m{i}" for i in range(len(columns))])  # one row
 
 

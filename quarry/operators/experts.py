@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.metrics import average_precision, roc_auc, stack_scores
 from quarry.operators.split import recent
+from quarry.plans.schema import quantiles_by, unpivot
 
 WEIGHTS = (0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50)
 
@@ -41,11 +42,13 @@ class SliceRule:
 
 def slice_rules(df: DataFrame, columns: list[str], rid: str, few: int = 12, parts: int = 5, most_values: int = 8) -> list[SliceRule]:
     """Quintile intervals of columns with more than ``few`` values; of others, the first ``most_values`` values to appear."""
-    got = df.agg(*[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)], *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(k / parts) for k in range(1, parts)])).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    got = df.agg(*[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)]).first()
+    many = [c for i, c in enumerate(columns) if got[f"u{i}"] > few]
+    cuts = {r["column"]: r["edges"] for r in quantiles_by(unpivot(df, many, []), "x", [k / parts for k in range(1, parts)], ["column"]).collect()} if many else {}  # a row a column
     rules = []
     for i, c in enumerate(columns):
-        if got[f"u{i}"] > few:
-            edges = sorted(set(got[f"q{i}"]))
+        if c in cuts:
+            edges = sorted(set(cuts[c]))
             rules += [SliceRule(c, a, b) for a, b in zip([None, *edges], [*edges, None], strict=True)]
         else:
             firsts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(rid).alias("at")).orderBy("at").limit(most_values).collect()

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.schema import running_totals
+from quarry.plans.schema import quantiles_by, running_totals, unpivot
 
 
 def score_steps(df: DataFrame, y: str, p: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -55,12 +55,14 @@ def best_f1_profile(df: DataFrame, y: str, p: str, columns: list[str]) -> DataFr
     rows = df.crossJoin(F.broadcast(best)).withColumn("hit", F.col(p) >= F.col("threshold"))  # best has one row
     kinds = {"tp": F.col("hit") & (F.col(y) == 1), "fp": F.col("hit") & (F.col(y) == 0), "fn": ~F.col("hit") & (F.col(y) == 1), "tn": ~F.col("hit") & (F.col(y) == 0)}
     aggs = [F.max("threshold").alias("threshold")] + [F.count_if(c).alias(k) for k, c in kinds.items()]
-    for i, c in enumerate(columns):
-        for k, test in kinds.items():
-            aggs += [F.median(F.when(test, F.col(c).cast("double"))).alias(f"m_{k}_{i}"), F.avg(F.when(test, F.col(c).isNull().cast("int"))).alias(f"z_{k}_{i}")]
-    wide = rows.agg(*aggs)
-    each = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"m_fn_{i}") - F.col(f"m_tp_{i}")).alias("fn_gap"), (F.col(f"m_fp_{i}") - F.col(f"m_tn_{i}")).alias("fp_gap"), (F.col(f"z_fn_{i}") - F.col(f"z_tp_{i}")).alias("fn_missing"), (F.col(f"z_fp_{i}") - F.col(f"z_tn_{i}")).alias("fp_missing")) for i, c in enumerate(columns)])
-    return wide.select("threshold", "tp", "fp", "fn", "tn", F.explode(each).alias("r")).select("threshold", "tp", "fp", "fn", "tn", "r.*")
+    aggs += [F.avg(F.when(test, F.col(c).isNull().cast("int"))).alias(f"z_{k}_{i}") for i, c in enumerate(columns) for k, test in kinds.items()]
+    each = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"z_fn_{i}") - F.col(f"z_tp_{i}")).alias("fn_missing"), (F.col(f"z_fp_{i}") - F.col(f"z_tn_{i}")).alias("fp_missing")) for i, c in enumerate(columns)])
+    whole = rows.agg(*aggs).select("threshold", "tp", "fp", "fn", "tn", F.explode(each).alias("r")).select("threshold", "tp", "fp", "fn", "tn", "r.*")
+    kind = F.coalesce(*[F.when(test, k) for k, test in kinds.items()])
+    middle = quantiles_by(unpivot(rows.withColumn("_kind", kind), columns, ["_kind"]), "x", [0.5], ["column", "_kind"])
+    of = lambda k: F.max(F.when(F.col("_kind") == k, F.col("edges")[0]))
+    gaps = middle.groupBy("column").agg((of("fn") - of("tp")).alias("fn_gap"), (of("fp") - of("tn")).alias("fp_gap"))
+    return whole.join(F.broadcast(gaps), "column", "left").select("column", "threshold", "tp", "fp", "fn", "tn", "fn_gap", "fp_gap", "fn_missing", "fp_missing")  # a row a column
 
 
 def stack_scores(df: DataFrame, y: str, scores: dict[str, Column], keep: list[str] | None = None) -> DataFrame:

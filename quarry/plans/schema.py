@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,10 +134,58 @@ def running_totals(df: DataFrame, order: str, sums: list[str], keys: list[str] |
     return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_b_{s}") for s in sums}).drop("_range", "_r", *[f"_k_{k}" for k in keys], *[f"_b_{s}" for s in sums])
 
 
+#: Values that one task may count at most, all of them different at worst.
+MOST_VALUES = 4_000_000
+
+
+def quantiles_by(rows: DataFrame, x: str, shares: Iterable[float], keys: list[str], accuracy: int | None = None, name: str = "edges", most_values: int = MOST_VALUES) -> DataFrame:
+    """(keys..., name): an array of the quantiles of x by key, null left out; exact with linear interpolation, or from sketches of an
+    accuracy as of percentile_approx. For few keys (columns, kinds of rows): a row a key goes to all tasks.
+
+    Up to most_values values are counted by a task a key. Beyond that, sketches bound ranges of each key's values, whose sizes say in
+    which ranges the wanted places lie; the values of those ranges alone are counted and summed, each range by a task of its own.
+    """
+    shares, present = list(shares), rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    if accuracy is not None:
+        return present.groupBy(*keys).agg(F.percentile_approx("_x", shares, accuracy).alias(name))
+    if rows.count() <= most_values:
+        return present.groupBy(*keys).agg(F.percentile("_x", F.array(*[F.lit(s) for s in shares])).alias(name))
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    ks = [f"_k{i}" for i in range(len(keys))]
+
+    bounds = present.groupBy(*named).agg(F.percentile_approx("_x", [k / parts for k in range(1, parts)], 1000).alias("_bounds"))
+    marked = present.join(F.broadcast(bounds), same).select(*keys, "_x", F.aggregate("_bounds", F.lit(0), lambda a, b: a + (F.col("_x") > b).cast("int")).alias("_range"))
+    sizes = marked.groupBy(*named, F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_size"))
+    key = Window.partitionBy(*ks)
+    start = F.coalesce(F.sum("_size").over(key.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*ks, "_r", "_size", start.alias("_start"), F.sum("_size").over(key).alias("_total"))
+    place = [F.lit(s) * (F.col("_total") - 1) for s in shares]
+    asked = F.array(*[F.struct(F.lit(j).alias("j"), side(p).cast("long").alias("at"), (p - F.floor(p)).alias("part"), F.lit(up).alias("up")) for j, p in enumerate(place) for up, side in ((False, F.floor), (True, F.ceil))])
+    inside = F.filter(asked, lambda a: (a["at"] >= F.col("_start")) & (a["at"] < F.col("_start") + F.col("_size")))
+    wanted = sizes.select(*ks, "_r", "_start", inside.alias("_asked")).where(F.size("_asked") > 0)
+
+    here = same & (F.col("_range") == F.col("_r"))
+    counts = marked.join(F.broadcast(wanted), here).groupBy(*keys, "_range", "_start", "_asked", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    cum = F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_x"))
+    found = counts.withColumn("_cum", cum).select(*keys, "_x", F.explode(F.filter("_asked", lambda a: (a["at"] < F.col("_cum")) & (a["at"] >= F.col("_cum") - F.col("_n")))).alias("_a"))
+    of = lambda up: F.max(F.when(F.col("_a.up") == up, F.col("_x")))
+    edges = found.groupBy(*keys, "_a.j").agg(of(False).alias("low"), of(True).alias("high"), F.max("_a.part").alias("part"))
+    edge = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    return edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", edge.alias("x")))).alias("_e")).select(*keys, F.transform("_e", lambda e: e["x"]).alias(name))
+
+
 def row_count(df: DataFrame) -> int:
     return df.count()
 
 
+def unpivot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """(keep..., column, x): numbers only; missing values are left out."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), finite(F.col(c)).alias("x")) for c in columns])
+    return df.select(*keep, F.explode(each).alias("v")).select(*keep, "v.column", "v.x").where("x is not null")
+
+
 def validate(df: DataFrame, spec: DatasetSpec, least_rows: int = 500, least_class: int = 25) -> DataFrame:
     """One row of findings in one pass: n_rows, n_positive, n_negative, bad_labels, null_times, valid."""
     if len({c.lower() for c in df.columns}) < len(df.columns):
@@ -166,14 +216,16 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     Figures of text columns are null; NaN and infinities count as missing.
     """
     columns = columns or df.columns
+    numbers = [c for c in columns if is_number(df, c)]
     aggs = []
     for i, c in enumerate(columns):
-        v = finite(F.col(c)) if is_number(df, c) else F.col(c)
-        num = v if is_number(df, c) else F.lit(None).cast("double")
-        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.count_distinct(v).alias(f"u{i}"), F.min(num).alias(f"a{i}"), F.median(num).alias(f"d{i}"), F.max(num).alias(f"b{i}")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"), F.col(f"u{i}").alias("n_unique"), F.col(f"a{i}").alias("minimum"), F.col(f"d{i}").alias("median"), F.col(f"b{i}").alias("maximum")) for i, c in enumerate(columns)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+        v = finite(F.col(c)) if c in numbers else F.col(c)
+        num = v if c in numbers else F.lit(None).cast("double")
+        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.count_distinct(v).alias(f"u{i}"), F.min(num).alias(f"a{i}"), F.max(num).alias(f"b{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"), F.col(f"u{i}").alias("n_unique"), F.col(f"a{i}").alias("minimum"), F.col(f"b{i}").alias("maximum")) for i, c in enumerate(columns)])
+    found = df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    middle = quantiles_by(unpivot(df, numbers, []), "x", [0.5], ["column"]) if numbers else found.select("column", F.lit(None).cast("array<double>").alias("edges"))
+    return found.join(F.broadcast(middle), "column", "left").select("column", "n_missing", "n_unique", "minimum", F.col("edges")[0].alias("median"), "maximum")  # a row a column
 
 
 def sample_skewness(c: Column) -> Column:
