@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.expr import STRICT, WIDE, compile_expression, with_expressions
+from quarry.functions.expr import STRICT, WIDE, ExpressionError, compile_expression, with_expressions
 from quarry.operators import admit, drift, encode, experts, formula, gate, history, metrics, score, split
 from quarry.operators.history import HistorySpec
 from quarry.plans import schema
@@ -193,6 +193,23 @@ def _validity(s, d):
     return got.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"z_{n}").alias("n_bad"), F.col(f"k_{n}").alias("constant")) for n in _POOL])).alias("r")).select("r.*")
 
 
+#: Texts that the validator meets, and whether it refuses them.
+_REFUSALS = {
+    "df['value'] + 1": False, "np.log1p(df['value'])": False, "np.where(df['value'] > 0, df['value'], 0)": False, "df['value'] / df['user_id']": False, "df['y'] + 1": True, "df['absent']": True, "df.value": True,
+    "np.sum(df['value'])": True, "df['value'].sum()": True, "__import__('os').system('x')": True, "(lambda: 1)()": True, "[v for v in df['value']]": True, "df['value']._private()": True, "df['value'] // 2": True,
+}
+
+
+def _refused(text: str) -> bool:
+    try:
+        compile_expression(text, ["value", "user_id", "y"], "y")
+    except ExpressionError:
+        return True
+    return False
+
+
+_reject = lambda s, d: s.createDataFrame([(k, text, _refused(text)) for k, text in enumerate(_REFUSALS)], "k long, text string, refused boolean")
+register("expr_reject", "k:i text:s refused:b", _reject, "SELECT * FROM (VALUES " + ", ".join("({}, '{}', {})".format(k, t.replace("'", "''"), bad) for k, (t, bad) in enumerate(_REFUSALS.items())) + ") AS v(k, text, refused)")
 register("expr_validity", "name:s n_bad:i constant:b", _validity, f"WITH {EV}, x AS (SELECT unnest(['a', 'b', 'c', 'd']) AS name, unnest([value / nullif(user_id - 5, 0), value * 0 + 1, ln(1 + value), ln(1 + value) * 2 - user_id]) AS x FROM ev) SELECT name, count(*) FILTER (x IS NULL) AS n_bad, min(x) = max(x) AS constant FROM x GROUP BY name")
 
 # ------------------------------------------------------------------ lookups and encodings
@@ -374,7 +391,13 @@ register("stump_gain", "column:s gain:f", lambda s, d: drift.stump_gain(late_par
 register("posneg_gap", "column:s gap:f", lambda s, d: drift.class_gap(late_part(s, d), _COLS, F.col("y") == 1, F.col("y") == 0), f"WITH {_LATE} SELECT \"column\", (median(x) FILTER (y = 1) - median(x) FILTER (y = 0)) / (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) AS gap FROM un GROUP BY 1")
 register("impute_median", "rid:i x:f", lambda s, d: drift.impute_median(events(s, d).withColumn("x", F.when(F.col("user_id") % 4 != 0, F.col("value"))), ["x"]), f"WITH {EV} SELECT rid, CASE WHEN user_id % 4 <> 0 THEN value ELSE (SELECT median(value) FROM ev WHERE user_id % 4 <> 0) END AS x FROM ev")
 register("disagreement", "rid:i z:f", lambda s, d: experts.disagreement(events(s, d), ["p", "q"], "z"), f"WITH {EV} SELECT rid, abs(p - q) / 2 AS z FROM ev")
-register("normal_scores", "rid:i value_z:f", lambda s, d: drift.inverse_normal(events(s, d), ["value"], "rid"))
+_NORMAL = """x AS (SELECT rid, greatest(least((rank() OVER (ORDER BY value) - 1 + (count(*) OVER (PARTITION BY value)) / 2.0::DOUBLE) / count(*) OVER (), 1 - 1e-12), 1e-12) AS p FROM ev),
+    z AS (SELECT rid, p, p - 0.5::DOUBLE AS m, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM x)
+    SELECT rid, CASE WHEN least(p, 1 - p) < 0.02425 THEN sign(0.5 - p) * (((((-7.784894002430293e-03 * t - 3.223964580411365e-01) * t - 2.400758277161838e+00) * t - 2.549732539343734e+00) * t + 4.374664141464968e+00) * t + 2.938163982698783e+00)
+            / ((((7.784695709041462e-03 * t + 3.224671290700398e-01) * t + 2.445134137142996e+00) * t + 3.754408661907416e+00) * t + 1)
+        ELSE (((((-3.969683028665376e+01 * r + 2.209460984245205e+02) * r - 2.759285104469687e+02) * r + 1.383577518672690e+02) * r - 3.066479806614716e+01) * r + 2.506628277459239e+00) * m
+            / (((((-5.447609879822406e+01 * r + 1.615858368580409e+02) * r - 1.556989798598866e+02) * r + 6.680131188771972e+01) * r - 1.328068155288572e+01) * r + 1) END AS value_z FROM z"""
+register("normal_scores", "rid:i value_z:f", lambda s, d: drift.inverse_normal(events(s, d), ["value"], "rid"), f"WITH {EV}, {_NORMAL}")
 
 # ------------------------------------------------------------------ metrics
 
@@ -429,7 +452,9 @@ def _trailing(s, d):
     return s.createDataFrame([(c, holds[c]) for c in _CANDS], "column string, holds boolean")
 
 
-register("trailing_check", "column:s holds:b", _trailing)
+#: Without base columns a residual is the candidate less its mean over other folds; the signs are those of the plain correlations.
+_SIGNS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", corr({c}, r) * corr({c}, r) FILTER (pos >= n - round(0.3 * n)) > 0 AS holds FROM tr" for c in _CANDS)
+register("trailing_check", "column:s holds:b", _trailing, f"WITH {_CAND_SQL}, tr AS (SELECT cd.*, row_number() OVER (ORDER BY t, rid) - 1 AS pos, count(*) OVER () AS n FROM cd JOIN (SELECT rid, t FROM ev) USING (rid)) {_SIGNS}")
 _TESTS = "ts AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000 + 1) / 1001.0::DOUBLE * (p_size / 50.0::DOUBLE) AS pv FROM part)"
 _tests = lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 1000 + 1) / 1001.0 * (F.col("p_size") / 50.0)).alias("pv"))
 register("bh_select", "k:i adjusted:f selected:b", lambda s, d: score.step_up(_tests(s, d), "pv", "k", 0.3), f"WITH {_TESTS}, r AS (SELECT *, row_number() OVER (ORDER BY pv, k) AS rk, count(*) OVER () AS m FROM ts), a AS (SELECT k, least(1, min(pv * m / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM r) SELECT k, adjusted, adjusted <= 0.3 AS selected FROM a")
@@ -439,7 +464,10 @@ register("perm_exit", "feature:s importance:f", lambda s, d: admit.exits(_tests(
 _TICKET = "tk AS (SELECT rid, value, ('0x' || substring(md5('5|value|' || rid), 1, 13))::BIGINT AS ticket FROM ev)"
 register("permute_col", "rid:i value_shuffled:f", lambda s, d: admit.permute(events(s, d), "value", "rid", 5), f"WITH {EV}, {_TICKET}, a AS (SELECT rid, row_number() OVER (ORDER BY rid) AS k FROM ev), b AS (SELECT value AS value_shuffled, row_number() OVER (ORDER BY ticket, rid) AS k FROM tk) SELECT rid, value_shuffled FROM a JOIN b USING (k)")
 _predict = lambda df: df.withColumn("p", 1 / (1 + F.abs(F.col("value")) / 10) + F.col("user_id") / 10000)
-register("perm_importance", "feature:s importance:f", lambda s, d: admit.permutation_importance(events(s, d).drop("p"), "y", ["value", "user_id"], "rid", _predict))
+_DEALT = ", ".join(f"{c}_k AS (SELECT {c} AS v, row_number() OVER (ORDER BY ('0x' || substring(md5('0|{c}|' || rid), 1, 13))::BIGINT, rid) AS k FROM ev)" for c in ("value", "user_id"))
+_PERMUTED = f"""{EV}, {_DEALT}, base AS (SELECT *, row_number() OVER (ORDER BY rid) AS k, rid % 2 AS half FROM ev), f AS (SELECT b.half, b.y, unnest(['plain', 'value', 'user_id']) AS feature,
+    unnest([1 / (1 + abs(b.value) / 10) + b.user_id / 10000, 1 / (1 + abs(a.v) / 10) + b.user_id / 10000, 1 / (1 + abs(b.value) / 10) + u.v / 10000]) AS s FROM base b JOIN value_k a USING (k) JOIN user_id_k u USING (k))"""
+register("perm_importance", "feature:s importance:f", lambda s, d: admit.permutation_importance(events(s, d).drop("p"), "y", ["value", "user_id"], "rid", _predict), f"WITH {_PERMUTED}, a AS ({_ap_sql('f', 'feature')}) SELECT feature, (SELECT ap FROM a WHERE feature = 'plain') - ap AS importance FROM a WHERE feature <> 'plain'")
 
 
 def _shadow(s, d):
@@ -447,7 +475,8 @@ def _shadow(s, d):
     return admit.shadow_admit(admit.permutation_importance(df, "y", ["value", "user_id", "noise"], "rid", _predict, by=["half"]), ["noise"], "half")
 
 
-register("shadow_admit", "feature:s", _shadow)
+#: The model doesn't read the shadow, so its importance is 0.
+register("shadow_admit", "feature:s", _shadow, f"WITH {_PERMUTED}, a AS ({_ap_sql('f', 'half, feature')}) SELECT x.feature FROM a x JOIN a z ON z.half = x.half AND z.feature = 'plain' WHERE x.feature <> 'plain' GROUP BY 1 HAVING min(z.ap - x.ap) > 0")
 
 # ------------------------------------------------------------------ gates, experts
 

@@ -28,3 +28,16 @@ def test_ranges_equal_one_task(rows):
 def test_empty(rows):
     assert quantiles_by(rows.where("k = 'none'"), "x", SHARES, ["k"], most_values=0).count() == 0
     assert quantiles_by(rows.where("k = 'none'"), "x", SHARES, ["k"], most_values=-1).count() == 0
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from quarry.operators.drift import normal_quantile
+
+    shares = [1e-9, 0.001, 0.02425, 0.1, 0.5, 0.77, 0.97575, 0.9999]
+    got = spark.createDataFrame([(p,) for p in [*shares, None]], "p double").select(normal_quantile(F.col("p"))).collect()
+    assert [r[0] for r in got[:-1]] == pytest.approx([NormalDist().inv_cdf(p) for p in shares], rel=2e-9, abs=1e-12)
+    assert got[-1][0] is None
