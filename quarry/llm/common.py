@@ -13,9 +13,12 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all machines see: spark.checkpoint.dir, or, on one machine, one of our own where it is unset (tests). An error on a
+    cluster that names none."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
