@@ -193,23 +193,6 @@ def _validity(s, d):
     return got.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"z_{n}").alias("n_bad"), F.col(f"k_{n}").alias("constant")) for n in _POOL])).alias("r")).select("r.*")
 
 
-#: Texts that the validator meets, and whether it refuses them.
-_REFUSALS = {
-    "df['value'] + 1": False, "np.log1p(df['value'])": False, "np.where(df['value'] > 0, df['value'], 0)": False, "df['value'] / df['user_id']": False, "df['y'] + 1": True, "df['absent']": True, "df.value": True,
-    "np.sum(df['value'])": True, "df['value'].sum()": True, "__import__('os').system('x')": True, "(lambda: 1)()": True, "[v for v in df['value']]": True, "df['value']._private()": True, "df['value'] // 2": True,
-}
-
-
-def _refused(text: str) -> bool:
-    try:
-        compile_expression(text, ["value", "user_id", "y"], "y")
-    except ExpressionError:
-        return True
-    return False
-
-
-_reject = lambda s, d: s.createDataFrame([(k, text, _refused(text)) for k, text in enumerate(_REFUSALS)], "k long, text string, refused boolean")
-register("expr_reject", "k:i text:s refused:b", _reject, "SELECT * FROM (VALUES " + ", ".join("({}, '{}', {})".format(k, t.replace("'", "''"), bad) for k, (t, bad) in enumerate(_REFUSALS.items())) + ") AS v(k, text, refused)")
 register("expr_validity", "name:s n_bad:i constant:b", _validity, f"WITH {EV}, x AS (SELECT unnest(['a', 'b', 'c', 'd']) AS name, unnest([value / nullif(user_id - 5, 0), value * 0 + 1, ln(1 + value), ln(1 + value) * 2 - user_id]) AS x FROM ev) SELECT name, count(*) FILTER (x IS NULL) AS n_bad, min(x) = max(x) AS constant FROM x GROUP BY name")
 
 # ------------------------------------------------------------------ lookups and encodings
